@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from voxelarium.plans import intensity, regions, voxels  # noqa: F401
+from voxelarium.plans import cohort, intensity, learning, regions, timelines, voxels  # noqa: F401
 from voxelarium.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -19,12 +19,16 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_files(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of a parquet table with the schema of its files."""
+    """Stream of a parquet table, a folder or a single file, with the schema of its files.
+
+    A single file is only accepted as a pattern, so the last letter is given as
+    a set of one.
+    """
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_end(writer, checkpoint: str) -> None:
