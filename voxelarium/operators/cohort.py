@@ -87,8 +87,7 @@ def backfill_labels(labels: DataFrame, outputs: DataFrame, seg: DataFrame) -> Da
     """
     stale = labels.agg(F.count(F.lit(1))).scalar() < outputs.agg(F.count(F.lit(1))).scalar()
     due = outputs.select("case_id").distinct()
-    masks = seg.join(due, "case_id", "left_semi")
-    rebuilt = derive_labels(masks.select("case_id").distinct(), masks).where(stale)
+    rebuilt = derive_labels(seg).join(due, "case_id", "left_semi").where(stale)
     return rebuilt.unionByName(labels.select(*rebuilt.columns).where(~stale))
 
 

@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# Largest summary that is broadcast, and largest group that one window task sorts.
 BROADCAST_ROWS = 100_000
+WINDOW_ROWS = 2_000_000
 
 
 def join_summary(
@@ -57,70 +59,63 @@ def exact_percentiles(
     """
     keys = list(keys)
     margin = 4.0 / accuracy
-    v = F.col("_v")
     compact = df.select(*keys, F.col(value).alias("_v"))
 
     def unpacked(frame: DataFrame) -> DataFrame:
         if packed:
             frame = frame.withColumn("_v", F.explode("_v"))
-        return frame.withColumn("_v", v.cast("double")).where(v.isNotNull())
+        return frame.withColumn("_v", F.expr("cast(_v as double)")).where("_v is not null")
 
-    rows = unpacked(compact)
     probes = [min(max(p + d, 0.0), 1.0) for p in fractions for d in (-margin, margin)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("_v").alias("mn"),
-        F.max("_v").alias("mx"),
+    sketch = unpacked(compact).groupBy(*keys).agg(
+        F.expr("count(1) as n"),
+        F.expr("min(_v) as mn"),
+        F.expr("max(_v) as mx"),
         F.percentile_approx("_v", probes, accuracy).alias("_q"),
     )
-    whole = F.col("n") <= accuracy
-    edges: list[Column] = []
+    brackets = []
     for i, p in enumerate(fractions):
-        low, high = F.get("_q", F.lit(2 * i)), F.get("_q", F.lit(2 * i + 1))
-        edges.append(F.when(whole | F.lit(p <= margin), F.col("mn")).otherwise(low).alias(f"_lo{i}"))
-        edges.append(
-            F.when(whole | F.lit(p >= 1 - margin), F.col("mx")).otherwise(high).alias(f"_hi{i}")
-        )
-    placed = unpacked(join_summary(compact, sketch.select(*keys, "n", "mn", "mx", *edges), keys))
-    inside = F.lit(False)
-    for i in range(len(fractions)):
-        inside = inside | ((v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")))
-    gates = [F.when(F.col(f"_lo{i}") > v, F.col(f"_lo{i}")) for i in range(len(fractions))]
-    gate = F.least(*gates) if len(gates) > 1 else gates[0]
+        brackets += [
+            f"if(n <= {accuracy} or {p} <= {margin}, mn, get(_q, {2 * i})) as _lo{i}",
+            f"if(n <= {accuracy} or {p} >= {1 - margin}, mx, get(_q, {2 * i + 1})) as _hi{i}",
+        ]
+    summary = sketch.selectExpr(*keys, "n", "mn", "mx", *brackets).persist(StorageLevel.MEMORY_AND_DISK)
+    size = summary.agg(F.expr("count(1) as groups"), F.expr("max(n) as largest")).first()
+    side = F.broadcast(summary) if size.groups <= BROADCAST_ROWS else summary
+    # Values between brackets only count: they move to the lower edge of the next one.
+    many = range(len(fractions))
+    inside = " or ".join(f"_v between _lo{i} and _hi{i}" for i in many)
+    gates = ", ".join(f"if(_lo{i} > _v, _lo{i}, null)" for i in many)
     counted = (
-        placed.select(*keys, "n", "mn", "mx", inside.alias("_in"), F.when(inside, v).otherwise(gate).alias("_at"))
-        .where(F.col("_at").isNotNull())
-        .groupBy(*keys, "n", "mn", "mx", "_at", "_in")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    order = Window.partitionBy(*keys).orderBy("_at", "_in")
-    ranked = counted.withColumn(
-        "_cum", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        unpacked(compact.join(side, keys))
+        .selectExpr(*keys, "n", "mn", "mx", f"{inside} as _in", f"if({inside}, _v, least({gates}, null, null)) as _at")
+        .where("_at is not null")
+        .groupBy(*keys, "_at", "_in")
+        .agg(*[F.expr(e) for e in ("count(1) as c", "max(n) as n", "max(mn) as mn", "max(mx) as mx")])
     )
-    picks: list[Column] = []
-    for i, p in enumerate(fractions):
-        rank = F.lit(float(p)) * (F.col("n") - 1)
-        at = F.struct("_at", "_in")
-        picks.append(F.min(F.when(F.col("_cum") > F.floor(rank), at)).alias(f"_a{i}"))
-        picks.append(F.min(F.when(F.col("_cum") > F.ceil(rank), at)).alias(f"_b{i}"))
-    out = ranked.groupBy(*keys, "n", "mn", "mx").agg(*picks)
-
-    def checked(name: str) -> Column:
-        found = F.col(f"{name}._in") & F.col(f"{name}._at").isNotNull()
-        return F.when(found, F.col(f"{name}._at")).otherwise(
-            F.raise_error(F.lit("percentile bracket missed its rank; raise accuracy")).cast("double")
-        )
-
-    columns: list[Column] = []
+    if 8 * len(fractions) * (size.largest or 0) / accuracy > WINDOW_ROWS:
+        ranked = running_totals(counted, "_at", ["c"], keys, ties=["_in"])
+    else:
+        order = Window.partitionBy(*keys).orderBy("_at", "_in")
+        upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counted.withColumn("cum_c", F.sum("c").over(upto))
+    picks, columns = [], []
     for i, p in enumerate(fractions):
-        rank = F.lit(float(p)) * (F.col("n") - 1)
-        low, high = checked(f"_a{i}"), checked(f"_b{i}")
+        rank = f"{float(p)!r}D * (n - 1)"
+        for side_name, place in (("_a", f"floor({rank})"), ("_b", f"ceil({rank})")):
+            here = f"cum_c > {place} and cum_c - c <= {place} and _in"
+            picks.append(F.expr(f"max(if({here}, _at, null)) as {side_name}{i}"))
         columns += [
-            (low + (high - low) * (rank - F.floor(rank))).alias(f"p{i}"),
-            low.alias(f"p{i}_lo"),
-            high.alias(f"p{i}_hi"),
+            f"_a{i} + (_b{i} - _a{i}) * ({rank} - floor({rank})) as p{i}",
+            f"_a{i} as p{i}_lo",
+            f"_b{i} as p{i}_hi",
         ]
-    return out.select(*keys, "n", "mn", "mx", *columns)
+    limits = [F.expr(f"max({name}) as {name}") for name in ("n", "mn", "mx")]
+    missed = " or ".join(f"_a{i} is null or _b{i} is null" for i in many)
+    found = ranked.groupBy(*keys).agg(*limits, *picks).withColumn(
+        "n", F.expr(f"if({missed}, raise_error('percentile bracket missed its rank; raise accuracy'), n)")
+    )
+    return found.selectExpr(*keys, "n", "mn", "mx", *columns)
 
 
 def seeded_hash(seed: Column | int | str, *parts: str | Column) -> Column:
@@ -138,11 +133,11 @@ def hash_to_int(digest: Column, start: int = 1) -> Column:
 def hashed_rank(df: DataFrame, key: str, seed: int, group: Sequence[str] = ()) -> DataFrame:
     """Add ``rn`` (1-based place in seeded hash order) and ``n`` per ``group``.
 
-    Digests are uniform, so their first three digits cut every group into 4096
+    Digests are uniform, so their first four digits cut every group into 65,536
     even pieces; ``key`` must be unique.
     """
     group = list(group)
-    hashed = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_piece", F.substring("_h", 1, 3))
+    hashed = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_piece", F.substring("_h", 1, 4))
     sizes = hashed.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,23 +161,28 @@ def running_totals(
     order: str,
     sums: Sequence[str],
     keys: Sequence[str] = (),
-    pieces: int = 256,
+    ties: Sequence[str] = (),
+    pieces: int = 1024,
 ) -> DataFrame:
-    """Add inclusive running totals ``cum_<name>`` in ascending ``order``.
+    """Add inclusive running totals ``cum_<name>`` in ascending ``order``, then ``ties``.
 
-    ``order`` must be numeric and unique within ``keys``, so equal values have to
-    be aggregated first.  Approximate quantiles only place the cuts; the totals
-    are exact wherever the cuts fall.
+    ``order`` must be numeric and, with ``ties``, unique within ``keys``: equal
+    values have to be aggregated first.  Approximate quantiles only place the
+    cuts; the totals are exact wherever the cuts fall.
     """
-    keys = list(keys)
+    keys, step = list(keys), 32
     cuts = [i / pieces for i in range(1, pieces)]
     edges = df.groupBy(*keys).agg(F.percentile_approx(order, cuts).alias("_edges"))
     if keys:
         cut = join_summary(df, edges, keys)
     else:
         cut = df.withColumn("_edges", edges.scalar())
-    piece = F.size(F.filter("_edges", lambda e: e < F.col(order)))
-    cut = cut.withColumn("_piece", piece).drop("_edges")
+    # Every 32nd edge first, then the 32 behind it.
+    every = F.expr(f"transform(sequence({step}, {pieces - 1}, {step}), i -> _edges[i - 1])")
+    coarse = F.size(F.filter(every, lambda e: e < F.col(order))) * step
+    cut = cut.withColumn("_coarse", coarse)
+    fine = F.size(F.filter(F.slice("_edges", F.col("_coarse") + 1, F.lit(step)), lambda e: e < F.col(order)))
+    cut = cut.withColumn("_piece", F.col("_coarse") + fine).drop("_edges", "_coarse")
     sizes = cut.groupBy(*keys, "_piece").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -191,7 +191,7 @@ def running_totals(
     )
     inner = (
         Window.partitionBy(*keys, "_piece")
-        .orderBy(order)
+        .orderBy(order, *ties)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     for s in sums:

@@ -66,15 +66,20 @@ def region_volumes(
     )
 
 
-def derive_labels(cases: DataFrame, seg: DataFrame) -> DataFrame:
-    """Presence, volumes and grade of every case; a case without a mask gets zeros."""
+def derive_labels(seg: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Presence, volumes and grade of every case in one aggregate.
+
+    With ``cases`` listed, those without a mask follow with zeros.
+    """
     counts = seg.groupBy("case_id").agg(
         F.count_if(F.col("label") == 3).alias("et_volume"),
         F.count_if(F.col("label").isin(2, 3)).alias("tc_volume"),
         F.count_if(F.col("label").isin(1, 2, 3)).alias("wt_volume"),
     )
+    if cases is not None:
+        counts = cases.select("case_id").join(counts, "case_id", "left")
     volume = {r: F.coalesce(F.col(f"{r}_volume"), F.lit(0)) for r in ("et", "tc", "wt")}
-    return cases.select("case_id").join(counts, "case_id", "left").select(
+    return counts.select(
         "case_id",
         *[(volume[r] > 0).cast("int").alias(r) for r in ("et", "tc", "wt")],
         *[volume[r].cast("double").alias(f"{r}_volume") for r in ("wt", "tc", "et")],

@@ -98,7 +98,7 @@ def class_balance(spark, sf_dir):
     SELECT region, sum(f)::BIGINT AS n_present, {r('100.0 * sum(f) / count(*)')} AS pct FROM f GROUP BY region""",
 )
 def region_presence_balance(spark, sf_dir):
-    labels = regions.derive_labels(b.cases(spark, sf_dir), b.seg(spark, sf_dir))
+    labels = regions.derive_labels(b.seg(spark, sf_dir), b.cases(spark, sf_dir))
     return rounded(cohort.presence_balance(labels, ["et", "tc", "wt"]))
 
 
@@ -181,7 +181,7 @@ def backfilled_labels(spark, sf_dir):
     orders = b.table(spark, sf_dir, "orders")
     outputs = orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("case_id"))
     kept = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("case_id"))
-    labels = regions.derive_labels(kept, seg)
+    labels = regions.derive_labels(seg, kept)
     return cohort.backfill_labels(labels, outputs, seg)
 
 
@@ -338,7 +338,7 @@ def array_files(spark, sf_dir):
       grade_proxy AS label FROM derived""",
 )
 def labels_csv_roundtrip(spark, sf_dir):
-    labels = regions.derive_labels(b.cases(spark, sf_dir), b.seg(spark, sf_dir)).withColumnRenamed("case_id", " Case")
+    labels = regions.derive_labels(b.seg(spark, sf_dir), b.cases(spark, sf_dir)).withColumnRenamed("case_id", " Case")
     path = new_folder(spark, "labels")
     sinks.write_table(labels.select(" Case", "et", "tc", "wt", "wt_volume", "tc_volume", "et_volume", "grade_proxy"),
                       path, "csv", header=True)
@@ -350,7 +350,7 @@ def labels_csv_roundtrip(spark, sf_dir):
     f"WITH {LABELS_SQL} SELECT case_id, et, tc, wt, wt_volume, tc_volume, et_volume, grade_proxy FROM derived",
 )
 def appended_labels(spark, sf_dir):
-    labels = regions.derive_labels(b.cases(spark, sf_dir), b.seg(spark, sf_dir))
+    labels = regions.derive_labels(b.seg(spark, sf_dir), b.cases(spark, sf_dir))
     path = new_folder(spark, "appended")
     for batch in (0, 1):
         sinks.append_labels(labels, path, batch)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelarium import bindings as b
 from voxelarium.operators import stats
+from voxelarium.operators import voxels as v
 from voxelarium.plans.registry import SCAN, VOX, query, r, rounded
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -140,7 +141,7 @@ def pairwise_case_means(spark, sf_dir):
 )
 def dataset_inspection(spark, sf_dir):
     classes = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), "label")
-    vox = b.vox(spark, sf_dir).join(classes, "case_id")
+    vox = v.explode_bricks(b.bricks(spark, sf_dir).join(classes, "case_id"), "label")
     zeroed = vox.withColumn("value", F.when(F.col("label") == 0, 0.0).otherwise(F.col("value")))
     return rounded(stats.inspect_dataset(stats.inspect_files(zeroed)))
 

@@ -56,7 +56,7 @@ def region_label_breakdown(spark, sf_dir):
 
 @query("derived_labels", f"WITH {LABELS_SQL} SELECT * FROM derived")
 def derived_labels(spark, sf_dir):
-    return regions.derive_labels(b.cases(spark, sf_dir), b.seg(spark, sf_dir))
+    return regions.derive_labels(b.seg(spark, sf_dir), b.cases(spark, sf_dir))
 
 
 SUMMARY_SQL = f"""count(*) AS n_cases, count(*) FILTER (mm3 > 0) AS n_positive, {r('sum(mm3)')} AS total_mm3,
@@ -137,7 +137,7 @@ def distinct_labels(spark, sf_dir):
     FROM f GROUP BY feature""",
 )
 def label_leakage_audit(spark, sf_dir):
-    labels = regions.derive_labels(b.cases(spark, sf_dir), b.seg(spark, sf_dir))
+    labels = regions.derive_labels(b.seg(spark, sf_dir), b.cases(spark, sf_dir))
     return label_leakage(labels, "grade_proxy", ["et_volume", "tc_volume", "wt_volume"])
 
 
