@@ -17,15 +17,16 @@ from voxelarium.operators.voxels import BRICK_KEYS, BRICK_SHAPE
 from voxelarium.storage import cut_lineage
 
 _OUTSIDE = -1
+STACKED_VOXELS = 4_000_000
 
 
-def _label_block(inside: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Smallest scan index of the component of every inside voxel."""
+def _label_blocks(inside: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Smallest scan index of the component of every inside voxel, for a stack of blocks."""
     far = np.iinfo(np.int64).max
     labels = np.where(inside, index, far)
     while True:
         before = labels.copy()
-        for axis in range(3):
+        for axis in (1, 2, 3):
             moved = np.moveaxis(labels, axis, 0)
             for a, b in ((moved[1:], moved[:-1]), (moved[:-1], moved[1:])):
                 np.minimum(a, np.where(a == far, far, b), out=a)
@@ -34,23 +35,32 @@ def _label_block(inside: np.ndarray, index: np.ndarray) -> np.ndarray:
 
 
 def label_bricks(bricks: DataFrame, threshold: float, shape: Sequence[int]) -> DataFrame:
-    """Bricks with ``labels`` per voxel and the labels on their six faces."""
+    """Bricks with ``labels`` per voxel and the labels on their six faces.
+
+    Bricks of equal extent are stacked and labelled together, a bounded number
+    of voxels at a time.
+    """
     _, height, width = shape
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("labels", *faces)}
-            for row in batch.itertuples(index=False):
-                size = (row.nx, row.ny, row.nz)
-                inside = (np.asarray(row.values) > threshold).reshape(size)
-                x, y, z = np.indices(size)
-                x, y, z = x + row.x0, y + row.y0, z + row.z0
-                labels = _label_block(inside, ((x * height + y) * width + z).astype(np.int64))
-                out["labels"].append(labels.ravel())
-                for axis, name in enumerate("xyz"):
-                    out[f"low_{name}"].append(np.take(labels, 0, axis).ravel())
-                    out[f"high_{name}"].append(np.take(labels, -1, axis).ravel())
-            yield batch[["case_id", *BRICK_SHAPE]].assign(**out)
+            for size, alike in batch.groupby(["nx", "ny", "nz"]):
+                step = max(1, STACKED_VOXELS // int(np.prod(size)))
+                for start in range(0, len(alike), step):
+                    yield label_alike(alike.iloc[start : start + step], size)
+
+    def label_alike(part: pd.DataFrame, size: tuple[int, int, int]) -> pd.DataFrame:
+        inside = (np.stack(part["values"].to_numpy()) > threshold).reshape(-1, *size)
+        x, y, z = (
+            part[f"{axis}0"].to_numpy(np.int64).reshape(-1, 1, 1, 1) + steps
+            for axis, steps in zip("xyz", np.indices(size))
+        )
+        labels = _label_blocks(inside, (x * height + y) * width + z)
+        out = {"labels": list(labels.reshape(len(part), -1))}
+        for axis, name in enumerate("xyz", start=1):
+            out[f"low_{name}"] = list(np.take(labels, 0, axis).reshape(len(part), -1))
+            out[f"high_{name}"] = list(np.take(labels, -1, axis).reshape(len(part), -1))
+        return part[["case_id", *BRICK_SHAPE]].assign(**{name: out[name] for name in ("labels", *faces)})
 
     faces = [f"{side}_{axis}" for side in ("low", "high") for axis in "xyz"]
     compact = bricks.select("case_id", *BRICK_SHAPE, "values")
@@ -88,7 +98,6 @@ def merge_components(contacts: DataFrame, max_rounds: int = 100) -> DataFrame:
     labels = edges.groupBy("case_id", F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
         "case_id", "node", F.least("node", "m").alias("comp")
     )
-    labels = cut_lineage(labels)
     for _ in range(max_rounds):
         near = (
             edges.join(labels.withColumnRenamed("node", "b"), ["case_id", "b"])

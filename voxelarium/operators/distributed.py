@@ -137,7 +137,7 @@ def hashed_rank(df: DataFrame, key: str, seed: int, group: Sequence[str] = ()) -
     even pieces; ``key`` must be unique.
     """
     group = list(group)
-    hashed = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_piece", F.substring("_h", 1, 4))
+    hashed = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_piece", F.expr("coalesce(left(_h, 4), '')"))
     sizes = hashed.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,18 +171,19 @@ def running_totals(
     cuts; the totals are exact wherever the cuts fall.
     """
     keys, step = list(keys), 32
-    cuts = [i / pieces for i in range(1, pieces)]
-    edges = df.groupBy(*keys).agg(F.percentile_approx(order, cuts).alias("_edges"))
+    cuts = ", ".join(f"{i / pieces!r}D" for i in range(1, pieces))
+    edges = df.groupBy(*keys).agg(F.expr(f"percentile_approx({order}, array({cuts})) as _q"))
+    # Every 32nd edge is tried first, then the 32 behind it.
+    every = f"transform(sequence({step}, {pieces - 1}, {step}), i -> _q[i - 1])"
+    edges = edges.selectExpr(*keys, f"struct(_q as fine, {every} as coarse) as _edges")
     if keys:
         cut = join_summary(df, edges, keys)
     else:
         cut = df.withColumn("_edges", edges.scalar())
-    # Every 32nd edge first, then the 32 behind it.
-    every = F.expr(f"transform(sequence({step}, {pieces - 1}, {step}), i -> _edges[i - 1])")
-    coarse = F.size(F.filter(every, lambda e: e < F.col(order))) * step
-    cut = cut.withColumn("_coarse", coarse)
-    fine = F.size(F.filter(F.slice("_edges", F.col("_coarse") + 1, F.lit(step)), lambda e: e < F.col(order)))
-    cut = cut.withColumn("_piece", F.col("_coarse") + fine).drop("_edges", "_coarse")
+    cut = cut.withColumn("_c", F.expr(f"size(filter(_edges.coarse, e -> e < {order})) * {step}"))
+    fine = f"size(filter(slice(_edges.fine, _c + 1, {step}), e -> e < {order}))"
+    # Never NULL, so that no null check on it is pushed below the caller's aggregate.
+    cut = cut.withColumn("_piece", F.expr(f"coalesce(_c + {fine}, 0)")).drop("_edges", "_c")
     sizes = cut.groupBy(*keys, "_piece").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

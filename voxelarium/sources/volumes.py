@@ -20,6 +20,8 @@ BRICK_SCHEMA = (
     "nx int, ny int, nz int, values array<float>, status string, error string"
 )
 
+OUTPUT_BYTES = 32 << 20  # decoded voxels handed back to Spark at a time
+
 # Voxel type codes of the single-file NIfTI-1 header.
 _VOXEL_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
@@ -100,17 +102,29 @@ def decode_volumes(
     """
     names = [field.split()[0] for field in BRICK_SCHEMA.split(", ")]
 
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        try:
+            volume = reader(content)
+            volume = volume[None] if volume.ndim == 3 else volume
+            return [
+                (path, channel, *place, *block.shape, block.ravel(), "ok", None)
+                for channel, place, block in _tiles(volume, size)
+            ]
+        except Exception as e:  # any defect of a file belongs in the error table
+            return [(path, *[None] * 11, "error", f"{type(e).__name__}: {e}")]
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
+            held = 0
             for path, content in zip(batch["path"], batch["content"]):
-                rows: list[tuple] = []
-                try:
-                    volume = reader(content)
-                    volume = volume[None] if volume.ndim == 3 else volume
-                    for channel, brick, block in _tiles(volume, size):
-                        rows.append((path, channel, *brick, *block.shape, block.ravel(), "ok", None))
-                except Exception as e:  # any defect of a file belongs in the error table
-                    rows = [(path, *[None] * 11, "error", f"{type(e).__name__}: {e}")]
+                new = rows_of(path, content)
+                held += sum(0 if row[-3] is None else row[-3].nbytes for row in new)
+                rows += new
+                if held >= OUTPUT_BYTES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            if rows:
                 yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "content").mapInPandas(decode, BRICK_SCHEMA)
