@@ -90,7 +90,6 @@ def test_sessions_stream_equals_batch(spark, events):
 
 
 def test_early_stop_state_survives_batches(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     losses = [5.0, 4.0, 4.5, 4.2, 3.0, 3.1, 3.2, 3.3]
     source = new_folder(spark, "epochs")
     for i, v in enumerate(losses, 1):
@@ -98,7 +97,8 @@ def test_early_stop_state_survives_batches(spark):
         frame.coalesce(1).write.mode("append").parquet(source)
     sink = new_folder(spark, "monitor")
     monitor = jobs.early_stop_monitor(jobs.read_files(spark, source, files_per_batch=3), 3)
-    jobs.write_closed_windows(monitor, sink, new_folder(spark, "progress"))
+    with jobs.rocksdb_state(spark):
+        jobs.write_closed_windows(monitor, sink, new_folder(spark, "progress"))
     rows = {(r.run, r.epoch): (r.best, r.counter, r.stop) for r in spark.read.parquet(sink).collect()}
     assert [rows["a", i][1] for i in range(1, 9)] == [0, 0, 1, 2, 0, 1, 2, 3]
     assert rows["a", 8] == (3.0, 3, 1) and rows["b", 8] == (-5.0, 7, 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelarium.functions.scalars import bce_with_logits, sigmoid
 from voxelarium.operators.distributed import running_totals
+from voxelarium.storage import materialise
 
 
 def ranking_metrics(df: DataFrame, score: str = "logit", label: str = "label") -> DataFrame:
@@ -19,6 +20,7 @@ def ranking_metrics(df: DataFrame, score: str = "logit", label: str = "label") -
     by_score = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
+    by_score = materialise(by_score, "scores")
     ranked = running_totals(by_score, "score", ["pos", "neg"])
     totals = by_score.agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("t"))
     wide = ranked.withColumn("t", totals.scalar())
@@ -103,6 +105,7 @@ def threshold_sweep(
     by_value = df.groupBy(F.col(uncertainty).alias("threshold")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(wrong).alias("wrong")
     )
+    by_value = materialise(by_value, "uncertainties")
     ranked = running_totals(by_value, "threshold", ["n", "wrong"])
     total = by_value.agg(F.sum("n"))
     n = total.scalar()

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxelarium.storage import materialise
+
 # Largest summary that is broadcast, and largest group that one window task sorts.
 BROADCAST_ROWS = 100_000
 WINDOW_ROWS = 2_000_000
@@ -94,7 +96,7 @@ def exact_percentiles(
         .agg(*[F.expr(e) for e in ("count(1) as c", "max(n) as n", "max(mn) as mn", "max(mx) as mx")])
     )
     if 8 * len(fractions) * (size.largest or 0) / accuracy > WINDOW_ROWS:
-        ranked = running_totals(counted, "_at", ["c"], keys, ties=["_in"])
+        ranked = running_totals(materialise(counted, "ranks"), "_at", ["c"], keys, ties=["_in"])
     else:
         order = Window.partitionBy(*keys).orderBy("_at", "_in")
         upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

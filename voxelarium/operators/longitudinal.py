@@ -108,8 +108,11 @@ def delta_image(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def kaplan_meier(df: DataFrame, group: str, time: str = "time", event: str = "event") -> DataFrame:
-    """Product-limit survival per group at every distinct time."""
-    steps = df.groupBy(group, time).agg(
+    """Product-limit survival per group at every distinct time, in whole days.
+
+    The table of distinct days is as long as the study, however many cases it has.
+    """
+    steps = df.groupBy(group, F.col(time).cast("int").alias(time)).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 1).alias("n_events")
     )
     w = Window.partitionBy(group).orderBy(time)

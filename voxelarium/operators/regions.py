@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelarium.conventions import LABEL_NAMES, VOXEL_SPACING
 from voxelarium.operators.distributed import exact_percentiles
+from voxelarium.storage import materialise
 
 
 def label_name(label: Column, names: Mapping[int, str] = LABEL_NAMES) -> Column:
@@ -109,7 +110,7 @@ def tumor_fractions(seg: DataFrame, target: int = 4) -> DataFrame:
 
 def presence_and_fraction(seg: DataFrame, target: int = 4) -> DataFrame:
     """Cases with and without the target, and volume statistics over those with it."""
-    per_case = tumor_fractions(seg, target).withColumn("cohort", F.lit("all"))
+    per_case = materialise(tumor_fractions(seg, target).withColumn("cohort", F.lit("all")), "fractions")
     totals = per_case.groupBy("cohort").agg(
         F.count_if(F.col("voxels") > 0).alias("n_with"),
         F.count_if(F.col("voxels") == 0).alias("n_without"),

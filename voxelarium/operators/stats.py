@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelarium.operators.distributed import exact_percentiles, join_summary
 from voxelarium.operators.voxels import stride_sample
+from voxelarium.storage import materialise
 
 MOMENTS = ["s", "s2", "n", "npos", "mn", "mx"]
 
@@ -95,13 +96,13 @@ def cohort_intensity(
     df: DataFrame,
     fractions: Mapping[str, float],
     group: str = "modality",
-    part: Sequence[str] = ("case_id",),
+    case: str = "case_id",
     value: str = "value",
 ) -> DataFrame:
     """Headline table: case count, merged moments and percentiles per modality."""
-    acc = moments(df, [group, *part], value)
-    merged = acc.groupBy(group).agg(
-        F.count_distinct(part[0]).alias("n_cases"),
+    per_case = moments(df, [group, case], value)
+    merged = per_case.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n_cases"),
         *[F.sum(c).alias(c) for c in MOMENTS[:4]],
         F.min("mn").alias("mn"),
         F.max("mx").alias("mx"),
@@ -123,6 +124,37 @@ def sampled_percentiles(
     return percentiles(stride_sample(first_cases(vox, n_cases), stride), ["modality"], fractions)
 
 
+def bin_counts(
+    df: DataFrame, keys: Sequence[str], limits: DataFrame, bins: int, value: str, packed: bool = False
+) -> DataFrame:
+    """Rows per equal-width bin of ``limits`` (``mn, top, limit``), empty bins included.
+
+    With ``packed`` the values are arrays, unpacked behind the join.
+    """
+    keys = list(keys)
+    limits = limits.withColumn("width", F.expr(f"(top - mn) / {bins}"))
+    rows = join_summary(df.select(*keys, F.col(value).alias("_v")), limits, keys)
+    if packed:
+        rows = rows.withColumn("_v", F.explode("_v"))
+    counted = (
+        rows.where("_v <= limit")
+        .select(
+            *keys,
+            F.expr(f"cast(least(coalesce(floor(try_divide(_v - mn, width)), 0), {bins - 1}) as int) as bin"),
+        )
+        .groupBy(*keys, "bin")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    grid = limits.select(*keys, "mn", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return grid.join(counted, [*keys, "bin"], "left").selectExpr(
+        *keys,
+        "bin",
+        "mn + bin * width as lower",
+        "mn + (bin + 1) * width as upper",
+        "coalesce(n, 0) as n",
+    )
+
+
 def histogram(
     df: DataFrame,
     keys: Sequence[str],
@@ -130,36 +162,20 @@ def histogram(
     value: str = "value",
     cut: float | None = 0.995,
 ) -> DataFrame:
-    """Equal-width bins over the range of the values up to a percentile, empty bins included."""
+    """Equal-width bins over the range of the values up to a percentile."""
     keys = list(keys)
     if cut is None:
         limits = df.groupBy(*keys).agg(F.min(value).alias("mn"), F.max(value).alias("top"))
         limits = limits.withColumn("limit", F.col("top"))
     else:
         found = exact_percentiles(df, keys, value, [cut])
-        top = F.when(F.col("p0_hi") <= F.col("p0"), F.col("p0_hi")).otherwise(F.col("p0_lo"))
-        limits = found.select(*keys, "mn", top.alias("top"), F.col("p0").alias("limit"))
-    limits = limits.withColumn("width", (F.col("top") - F.col("mn")) / bins)
-    kept = join_summary(df.select(*keys, F.col(value).alias("_v")), limits, keys).where(F.col("_v") <= F.col("limit"))
-    place = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("mn"), F.col("width"))), F.lit(0))
-    counted = (
-        kept.select(*keys, F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
-        .groupBy(*keys, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    grid = limits.select(*keys, "mn", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return grid.join(counted, [*keys, "bin"], "left").select(
-        *keys,
-        "bin",
-        (F.col("mn") + F.col("bin") * F.col("width")).alias("lower"),
-        (F.col("mn") + (F.col("bin") + 1) * F.col("width")).alias("upper"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-    )
+        limits = found.selectExpr(*keys, "mn", "if(p0_hi <= p0, p0_hi, p0_lo) as top", "p0 as limit")
+    return bin_counts(df, keys, limits, bins, value)
 
 
 def box_summary(df: DataFrame, group: str = "modality", case: str = "case_id", value: str = "value") -> DataFrame:
     """Quartiles, whiskers within 1.5 IQR and outlier count of per-case means."""
-    means = df.groupBy(group, case).agg(F.avg(value).alias("m"))
+    means = materialise(df.groupBy(group, case).agg(F.avg(value).alias("m")), "means")
     fences = exact_percentiles(means, [group], "m", [0.25, 0.5, 0.75]).select(
         group, F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3")
     )
@@ -273,19 +289,20 @@ def stats_cube(df: DataFrame, dimensions: Sequence[str], value: str = "value") -
     return finalise_moments(cubed, [*dimensions, "level"])
 
 
-def first_order_features(df: DataFrame, keys: Sequence[str], bins: int = 16, value: str = "value") -> DataFrame:
-    """Mean, median, deviation, skewness, kurtosis and histogram entropy (nats)."""
+def first_order_features(bricks: DataFrame, keys: Sequence[str], bins: int = 16) -> DataFrame:
+    """Mean, median, deviation, skewness, kurtosis and histogram entropy (nats) of bricks."""
     keys = list(keys)
-    v = F.col(value)
-    shape = df.groupBy(*keys).agg(
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
-        F.skewness(v).alias("skewness"),
-        F.kurtosis(v).alias("kurtosis"),
+    values = bricks.select(*keys, F.explode("values").alias("v")).withColumn("v", F.col("v").cast("double"))
+    shape = values.groupBy(*keys).agg(
+        F.avg("v").alias("mean"),
+        F.stddev_pop("v").alias("std"),
+        F.skewness("v").alias("skewness"),
+        F.kurtosis("v").alias("kurtosis"),
     )
-    middle = percentiles(df, keys, {"median": 0.5}, value)
-    counts = histogram(df, keys, bins, value, cut=None).where("n > 0")
+    middle = exact_percentiles(bricks, keys, "values", [0.5], packed=True)
+    limits = middle.select(*keys, "mn", F.col("mx").alias("top"), F.col("mx").alias("limit"))
+    counts = bin_counts(bricks, keys, limits, bins, "values", packed=True).where("n > 0")
     entropy = counts.groupBy(*keys).agg(
         (F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")).alias("entropy")
     )
-    return shape.join(middle, keys).join(entropy, keys)
+    return shape.join(middle.select(*keys, F.col("p0").alias("median")), keys).join(entropy, keys)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelarium.conventions import CLIP_PERCENTILE, EPSILON, MASK_THRESHOLD
 from voxelarium.operators.distributed import exact_percentiles, hash_to_int, join_summary, seeded_hash
+from voxelarium.storage import materialise
 
 AXES = ("x", "y", "z")
 BRICK_KEYS = ["case_id", "bx", "by", "bz"]
@@ -102,7 +103,8 @@ def ctn_normalize(
     inner = F.transform(
         F.filter(F.arrays_zip("values", "inside"), lambda c: c["inside"]), lambda c: c["values"]
     )
-    packed = masked.select(*keys, inner.alias("inner"))
+    # Three passes read the masked values; the join with the mask runs once.
+    packed = materialise(masked.select(*keys, inner.alias("inner")).where(F.size("inner") > 0), "masked")
     limits = exact_percentiles(packed, keys, "inner", [clip], packed=True).select(*keys, "p0")
     clipped = join_summary(packed, limits, keys).select(*keys, "p0", F.explode("inner").alias("v"))
     clipped = clipped.withColumn("v", F.least(F.col("v").cast("double"), F.col("p0")))

@@ -373,13 +373,13 @@ def quarantined_cases(spark, sf_dir):
 
 @query(
     "normalised_bricks",
-    f"""WITH {CTN_SQL} SELECT case_id, modality, x, y, z, {r('value')} AS value FROM ctn WHERE modality = 2""",
+    f"""WITH {CTN_SQL} SELECT case_id, modality, x, y, z, {r('value')} AS value FROM ctn""",
 )
 def normalised_bricks(spark, sf_dir):
     bricks = b.bricks(spark, sf_dir)
     path = new_folder(spark, "normalised")
     sinks.write_normalised(v.ctn_normalize(bricks, v.mask_bricks(bricks, 1, 0.0)), path)
-    return rounded(v.explode_bricks(spark.read.parquet(path).where("modality = 2")))
+    return rounded(v.explode_bricks(spark.read.parquet(path)))
 
 
 HEURISTIC_SQL = """w AS (SELECT case_id, x, y, z, max(value) FILTER (modality = 1) AS t1ce,

@@ -179,7 +179,7 @@ def stats_cube(spark, sf_dir):
     FROM m JOIN e ON m.case_id = e.case_id AND m.modality = e.modality""",
 )
 def first_order_features(spark, sf_dir):
-    return rounded(stats.first_order_features(b.vox(spark, sf_dir), ["case_id", "modality"]))
+    return rounded(stats.first_order_features(b.bricks(spark, sf_dir), ["case_id", "modality"]))
 
 
 @query(

@@ -150,8 +150,8 @@ def session_activity(spark, sf_dir):
     )
     found = longitudinal.session_activity(events, 6)
     return rounded(
-        found.select("patient", "session", jobs.utc_text(F.col("started")).alias("started"),
-                     jobs.utc_text(F.col("ended")).alias("ended"), "n", F.round("total", 4).alias("total"))
+        found.select("patient", "session", jobs.utc_seconds(F.col("started")).alias("started"),
+                     jobs.utc_seconds(F.col("ended")).alias("ended"), "n", F.round("total", 4).alias("total"))
     )
 
 
@@ -245,7 +245,7 @@ def streaming_ingest(spark, sf_dir):
 def streaming_early_stop(spark, sf_dir):
     source, sink, progress = (new_folder(spark, p) for p in ("epochs", "monitor", "progress"))
     b.hist(spark, sf_dir).write.parquet(source)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     monitor = jobs.early_stop_monitor(jobs.read_files(spark, source), 5)
-    jobs.write_closed_windows(monitor, sink, progress)
+    with jobs.rocksdb_state(spark):
+        jobs.write_closed_windows(monitor, sink, progress)
     return rounded(spark.read.schema(monitor.schema).parquet(sink))

@@ -290,9 +290,11 @@ def brain_components(spark, sf_dir):
       AND a.x = b.x AND a.y = b.y AND a.z = b.z""",
 )
 def delta_images(spark, sf_dir):
-    bricks = b.bricks(spark, sf_dir).withColumn("patient", F.expr("case_id div 2"))
-    first, second = bricks.where("case_id % 2 = 0"), bricks.where("case_id % 2 = 1")
-    return rounded(longitudinal.delta_image(first, second, "patient"))
+    # Cases 2k and 2k + 1 are the two visits of patient k.
+    visits = b.bricks(spark, sf_dir).withColumns(
+        {"patient": F.expr("case_id div 2"), "visit": F.expr("case_id % 2")}
+    )
+    return rounded(longitudinal.delta_image(visits.where("visit = 0"), visits.where("visit = 1"), "patient"))
 
 
 @query(

@@ -34,6 +34,17 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result that several passes read, and read it back.
+
+    Unlike a cache it needs no executor memory and outlives lost executors.  The
+    folder stays until the shared root is cleaned.
+    """
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``; iterative jobs call it once per round."""
     shared_root(df.sparkSession)

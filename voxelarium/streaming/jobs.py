@@ -8,6 +8,7 @@ start them again, and they go on where they stopped.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,8 +44,10 @@ def incremental_ingest(rows: DataFrame, labels_path: str, errors_path: str, chec
     that ``current_labels`` removes by key.
     """
     def store(batch: DataFrame, number: int) -> None:
+        batch.persist()
         append_labels(batch.where(F.col("status") == "ok").drop("status"), labels_path, number)
         quarantine(batch, errors_path)
+        batch.unpersist()
 
     run_to_end(rows.writeStream.foreachBatch(store), checkpoint)
 
@@ -130,6 +133,18 @@ def early_stop_monitor(epochs: DataFrame, patience: int) -> DataFrame:
     )
 
 
-def utc_text(ts: Column) -> Column:
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Keep state on disk instead of the heap, as custom stateful operators require."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def utc_seconds(ts: Column) -> Column:
     """Seconds since the epoch, free of any session time zone."""
     return F.unix_micros(ts) / 1_000_000.0
