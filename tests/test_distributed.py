@@ -23,7 +23,11 @@ def skewed(spark):
 @pytest.mark.parametrize("accuracy", [200, 10_000])
 @pytest.mark.parametrize("window_rows", [1, 2_000_000])
 @pytest.mark.parametrize("broadcast_rows", [1, 100_000])
-def test_percentiles(skewed, monkeypatch, accuracy, window_rows, broadcast_rows):
+@pytest.mark.parametrize("small_group", [0, 20_000])
+def test_percentiles(skewed, monkeypatch, accuracy, window_rows, broadcast_rows, small_group):
+    if small_group and (window_rows == 1 or broadcast_rows == 1):
+        pytest.skip("the built-in aggregate uses neither")
+    monkeypatch.setattr(distributed, "SMALL_GROUP", small_group)
     monkeypatch.setattr(distributed, "WINDOW_ROWS", window_rows)
     monkeypatch.setattr(distributed, "BROADCAST_ROWS", broadcast_rows)
     values, frame = skewed
@@ -35,7 +39,9 @@ def test_percentiles(skewed, monkeypatch, accuracy, window_rows, broadcast_rows)
         assert (row.n, row.mn, row.mx) == (len(values[row.key]), values[row.key].min(), values[row.key].max())
 
 
-def test_percentiles_of_arrays(spark, skewed):
+@pytest.mark.parametrize("small_group", [0, 20_000])
+def test_percentiles_of_arrays(skewed, monkeypatch, small_group):
+    monkeypatch.setattr(distributed, "SMALL_GROUP", small_group)
     values, frame = skewed
     packed = frame.groupBy("key", F.expr("pmod(hash(value), 9)")).agg(F.collect_list("value").alias("values"))
     found = distributed.exact_percentiles(packed, ["key"], "values", [0.995], 200, packed=True).collect()

@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelarium.storage import materialise
 
-# Largest summary that is broadcast, and largest group that one window task sorts.
+# Largest summary that is broadcast, largest group whose values one aggregation
+# buffer may hold, and largest group that one window task sorts.
 BROADCAST_ROWS = 100_000
+SMALL_GROUP = 20_000
 WINDOW_ROWS = 2_000_000
 
 
@@ -46,6 +48,7 @@ def exact_percentiles(
     fractions: Sequence[float],
     accuracy: int = 10_000,
     packed: bool = False,
+    neighbours: bool = False,
 ) -> DataFrame:
     """Linear-interpolation percentiles per ``keys``, exact for any group size.
 
@@ -53,11 +56,12 @@ def exact_percentiles(
     what lies below each bracket and keeps only the values inside.  A bracket
     holds about ``8 * n / accuracy`` rows; groups of at most ``accuracy`` rows
     are kept whole.  A bracket that missed its rank raises instead of guessing.
-    With ``packed`` the value column is an array, unpacked only after the
+    If no group exceeds ``SMALL_GROUP`` rows, the built-in aggregate is used: its
+    buffers are small then, and no join is needed.  With ``packed`` the value column is an array, unpacked only after the
     brackets were joined, so that at most compact rows are shuffled.
 
-    Returns ``keys, n, mn, mx`` and, for the i-th fraction, ``p{i}`` with its
-    neighbours in the data ``p{i}_lo`` and ``p{i}_hi``.
+    Returns ``keys, n, mn, mx`` and, for the i-th fraction, ``p{i}``; on request
+    also its neighbours in the data, ``p{i}_lo`` and ``p{i}_hi``.
     """
     keys = list(keys)
     margin = 4.0 / accuracy
@@ -83,6 +87,15 @@ def exact_percentiles(
         ]
     summary = sketch.selectExpr(*keys, "n", "mn", "mx", *brackets).persist(StorageLevel.MEMORY_AND_DISK)
     size = summary.agg(F.expr("count(1) as groups"), F.expr("max(n) as largest")).first()
+    if (size.largest or 0) <= SMALL_GROUP and not neighbours:
+        wanted = ", ".join(f"{float(p)!r}D" for p in fractions)
+        whole = unpacked(compact).groupBy(*keys).agg(
+            F.expr("count(1) as n"),
+            F.expr("min(_v) as mn"),
+            F.expr("max(_v) as mx"),
+            F.expr(f"percentile(_v, array({wanted})) as _p"),
+        )
+        return whole.selectExpr(*keys, "n", "mn", "mx", *[f"_p[{i}] as p{i}" for i in range(len(fractions))])
     side = F.broadcast(summary) if size.groups <= BROADCAST_ROWS else summary
     # Values between brackets only count: they move to the lower edge of the next one.
     many = range(len(fractions))
@@ -107,11 +120,9 @@ def exact_percentiles(
         for side_name, place in (("_a", f"floor({rank})"), ("_b", f"ceil({rank})")):
             here = f"cum_c > {place} and cum_c - c <= {place} and _in"
             picks.append(F.expr(f"max(if({here}, _at, null)) as {side_name}{i}"))
-        columns += [
-            f"_a{i} + (_b{i} - _a{i}) * ({rank} - floor({rank})) as p{i}",
-            f"_a{i} as p{i}_lo",
-            f"_b{i} as p{i}_hi",
-        ]
+        columns.append(f"_a{i} + (_b{i} - _a{i}) * ({rank} - floor({rank})) as p{i}")
+        if neighbours:
+            columns += [f"_a{i} as p{i}_lo", f"_b{i} as p{i}_hi"]
     limits = [F.expr(f"max({name}) as {name}") for name in ("n", "mn", "mx")]
     missed = " or ".join(f"_a{i} is null or _b{i} is null" for i in many)
     found = ranked.groupBy(*keys).agg(*limits, *picks).withColumn(

@@ -168,7 +168,7 @@ def histogram(
         limits = df.groupBy(*keys).agg(F.min(value).alias("mn"), F.max(value).alias("top"))
         limits = limits.withColumn("limit", F.col("top"))
     else:
-        found = exact_percentiles(df, keys, value, [cut])
+        found = exact_percentiles(df, keys, value, [cut], neighbours=True)
         limits = found.selectExpr(*keys, "mn", "if(p0_hi <= p0, p0_hi, p0_lo) as top", "p0 as limit")
     return bin_counts(df, keys, limits, bins, value)
 
