@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from voxelarium import bindings as b
 from voxelarium.conventions import MODALITY_NAMES
-from voxelarium.functions import ids
+from voxelarium.functions import ids, scalars
 from voxelarium.operators import cohort, regions, scoring, stats
 from voxelarium.operators import voxels as v
 from voxelarium.plans.intensity import EVENT_TYPES
@@ -417,3 +417,37 @@ def json_records(spark, sf_dir):
 )
 def report_rows(spark, sf_dir):
     return sinks.report_rows(stats.cohort_intensity(b.scan(spark, sf_dir), {"p50": 0.5}))
+
+
+@query(
+    "scan_progress",
+    """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, max(ts) AS last FROM events GROUP BY ALL),
+    c AS (SELECT day, CAST(sum(n) OVER (ORDER BY day) AS BIGINT) AS done, (SELECT count(*) FROM events) AS total,
+      CAST(epoch_us(last) // 1000000 - (SELECT epoch_us(min(ts)) // 1000000 FROM events) AS BIGINT) AS secs FROM d),
+    e AS (SELECT *, CAST(floor(secs / done * (total - done) + 1e-6::DOUBLE) AS BIGINT) AS eta FROM c)
+    SELECT CAST(day AS VARCHAR) AS day, done, concat(secs // 3600, 'h ', secs % 3600 // 60, 'm ', secs % 60, 's') AS elapsed,
+      concat(eta // 3600, 'h ', eta % 3600 // 60, 'm ', eta % 60, 's') AS eta FROM e""",
+)
+def scan_progress(spark, sf_dir):
+    """Elapsed and remaining time after each day; days are few, so one window over them is small."""
+    events = b.table(spark, sf_dir, "events")
+    daily = events.groupBy(F.col("ts").cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"), F.min("ts").alias("first")
+    )
+    by_day = Window.partitionBy(F.lit(0)).orderBy("day")
+    everything = Window.partitionBy(F.lit(0))
+    seconds = F.timestamp_diff("SECOND", F.date_trunc("second", F.min("first").over(everything)),
+                               F.date_trunc("second", F.col("last")))
+    counted = daily.select(
+        F.col("day").cast("string").alias("day"),
+        F.sum("n").over(by_day).alias("done"),
+        F.sum("n").over(everything).alias("total"),
+        seconds.alias("seconds"),
+    )
+    left = scalars.remaining_seconds(F.col("seconds").cast("double"), F.col("done"), F.col("total"))
+    return counted.select(
+        "day",
+        "done",
+        scalars.duration_text(F.col("seconds")).alias("elapsed"),
+        scalars.duration_text(left + 1e-6).alias("eta"),
+    )
