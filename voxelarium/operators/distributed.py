@@ -146,11 +146,15 @@ def hash_to_int(digest: Column, start: int = 1) -> Column:
 def hashed_rank(df: DataFrame, key: str, seed: int, group: Sequence[str] = ()) -> DataFrame:
     """Add ``rn`` (1-based place in seeded hash order) and ``n`` per ``group``.
 
-    Digests are uniform, so their first four digits cut every group into 65,536
-    even pieces; ``key`` must be unique.
+    The order is that of 60 digest bits, then of ``key``, which must be unique.
+    Digests are uniform, so their first 14 bits cut every group into 16,384 even
+    pieces.
     """
     group = list(group)
-    hashed = df.withColumn("_h", seeded_hash(seed, key)).withColumn("_piece", F.expr("coalesce(left(_h, 4), '')"))
+    digits = F.left(seeded_hash(seed, key), F.lit(15))
+    hashed = df.withColumn("_h", F.conv(digits, 16, 10).cast("bigint"))
+    # Never NULL, so that no null check on it repeats the digest below the join.
+    hashed = hashed.withColumn("_piece", F.expr("coalesce(cast(shiftright(_h, 46) as int), 0)"))
     sizes = hashed.groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
