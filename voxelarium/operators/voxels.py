@@ -33,9 +33,19 @@ def voxel_position(offset: str = "_p") -> list[Column]:
     ]
 
 
+def brick_cells(bricks: DataFrame, values: str | Column, name: str, *extra: str) -> DataFrame:
+    """One row per array element with its offset ``_p``.
+
+    The outer form with a plain test keeps Spark from inferring a filter on the
+    array, which would compute a transformed array twice.
+    """
+    cells = bricks.select("case_id", "modality", *BRICK_SHAPE, *extra, F.posexplode_outer(values).alias("_p", name))
+    return cells.where("_p is not null")
+
+
 def explode_bricks(bricks: DataFrame, *extra: str) -> DataFrame:
     """Long view ``case_id, modality, x, y, z, value``."""
-    cells = bricks.select("case_id", "modality", *BRICK_SHAPE, *extra, F.posexplode("values").alias("_p", "_v"))
+    cells = brick_cells(bricks, "values", "_v", *extra)
     return cells.select(
         "case_id", "modality", *voxel_position(), F.col("_v").cast("double").alias("value"), *extra
     )
@@ -67,9 +77,7 @@ def apply_mask(bricks: DataFrame, mask: DataFrame) -> DataFrame:
 
 def explode_masked(masked: DataFrame) -> DataFrame:
     """Voxels of the masked bricks that lie inside the mask."""
-    cells = masked.select(
-        "case_id", "modality", *BRICK_SHAPE, F.posexplode(F.arrays_zip("values", "inside")).alias("_p", "_c")
-    )
+    cells = brick_cells(masked, F.arrays_zip("values", "inside"), "_c")
     return cells.where("_c.inside").select(
         "case_id", "modality", *voxel_position(), F.col("_c.values").cast("double").alias("value")
     )
@@ -265,9 +273,7 @@ def label_overlay(
 ) -> DataFrame:
     """One plane with target mask and sub-region colour; label bricks carry ``labels``."""
     plane = slice_bricks(bricks, axis, index).join(labels.select(*BRICK_KEYS, "labels"), BRICK_KEYS)
-    cells = plane.select(
-        "case_id", "modality", *BRICK_SHAPE, F.posexplode(F.arrays_zip("values", "labels")).alias("_p", "_c")
-    )
+    cells = brick_cells(plane, F.arrays_zip("values", "labels"), "_c")
     label = F.col("label")
     colour = F.lit(0.0)
     for k, shade in colours.items():
