@@ -409,11 +409,15 @@ def json_records(spark, sf_dir):
     )
 
 
+def half_up(expression: str, digits: int) -> str:
+    return f"CAST(round(CAST({expression} AS DECIMAL(18, 6)), {digits}) AS DOUBLE)"
+
+
 @query(
     "report_rows",
     f"""WITH {SCAN} SELECT modality, printf('| %s | %d | %.1f | %.1f | %.1f | %.1f | %.2f%% |', modality,
-      count(DISTINCT case_id), avg(value), stddev_pop(value), min(value), max(value),
-      100.0::DOUBLE * count(*) FILTER (value > 0) / count(*)) AS line FROM scan GROUP BY modality""",
+      count(DISTINCT case_id), {half_up('avg(value)', 1)}, {half_up('stddev_pop(value)', 1)}, {half_up('min(value)', 1)},
+      {half_up('max(value)', 1)}, {half_up('100.0::DOUBLE * count(*) FILTER (value > 0) / count(*)', 2)}) AS line FROM scan GROUP BY modality""",
 )
 def report_rows(spark, sf_dir):
     return sinks.report_rows(stats.cohort_intensity(b.scan(spark, sf_dir), {"p50": 0.5}))

@@ -498,14 +498,14 @@ def best_checkpoints(spark, sf_dir):
     return lowest.unionByName(highest)
 
 
-LOG_SQL = """log AS (SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, max(ts) AS last, avg(value) / 100 AS v,
+LOG_SQL = """log AS (SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, max(ts) AS last, max(value) / 100 AS v,
   min(value) / 100 AS t FROM events GROUP BY ALL)"""
 
 
 def _log_lines(spark, sf_dir):
     """Log lines of one run per event type, an epoch line per day with a start line before it."""
     daily = b.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run"), F.day("ts").alias("epoch")).agg(
-        F.max("ts").alias("last"), (F.avg("value") / 100).alias("v"), (F.min("value") / 100).alias("t")
+        F.max("ts").alias("last"), (F.max("value") / 100).alias("v"), (F.min("value") / 100).alias("t")
     )
     stamp = F.concat(F.date_format("last", "yyyy-MM-dd HH:mm:ss"), F.lit(","), F.date_format("last", "SSS"))
     text = F.format_string(
