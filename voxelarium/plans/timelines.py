@@ -26,8 +26,8 @@ def _daily(spark, sf_dir):
     "progression",
     f"""WITH {LAGGED_SQL}, g AS (SELECT *, (volume - previous) / nullif(previous, 0) AS dp, (volume - nadir) / nullif(nadir, 0) AS dn,
       cbrt(6 * volume / pi()) - cbrt(6 * nadir / pi()) AS dd, (volume - first_volume) / nullif(first_volume, 0) AS db FROM k)
-    SELECT patient, CAST(day AS VARCHAR) AS day, {r('volume')} AS volume, {r('coalesce(dp, 0)', 5)} AS dv_previous,
-      {r('coalesce(dn, 0)', 5)} AS dv_nadir, {r('coalesce(dd, 0)', 5)} AS dd_nadir,
+    SELECT patient, CAST(day AS VARCHAR) AS day, {r('volume')} AS volume, {r('coalesce(dp, 0)', 10)} AS dv_previous,
+      {r('coalesce(dn, 0)', 10)} AS dv_nadir, {r('coalesce(dd, 0)', 5)} AS dd_nadir,
       CASE WHEN nadir IS NULL THEN 'BASELINE' WHEN volume <= 0 THEN 'CR' WHEN dn >= 0.25 AND dd >= 0.5 THEN 'PD'
         WHEN db <= -0.65 THEN 'PR' ELSE 'SD' END AS response FROM g""",
 )
@@ -37,9 +37,9 @@ def progression(spark, sf_dir):
     )
     shown = found.select(
         "patient", F.col("day").cast("string").alias("day"), "volume",
-        *[F.round(c, 5).alias(c) for c in ("dv_previous", "dv_nadir", "dd_nadir")], "response",
+        "dv_previous", "dv_nadir", F.round("dd_nadir", 5).alias("dd_nadir"), "response",
     )
-    return rounded(shown)
+    return rounded(shown.withColumn("volume", F.round("volume", 6)), 10)
 
 
 @query(
