@@ -30,6 +30,11 @@ def modality_of(name: Column) -> Column:
     return _match(name, MODALITY_PATTERN)
 
 
+def case_of(path: Column) -> Column:
+    """File name in front of its modality code, NULL for other files."""
+    return _match(path, r"([^/]+)" + MODALITY_PATTERN)
+
+
 def class_folder_split(path: Column) -> Column:
     return _match(path, CLASS_FOLDER_PATTERN, 1)
 

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxelarium.functions import ids
+
 BRICK_SCHEMA = (
     "path string, channel int, bx int, by int, bz int, x0 int, y0 int, z0 int, "
     "nx int, ny int, nz int, values array<float>, status string, error string"
@@ -130,6 +132,12 @@ def decode_volumes(
     return files.select("path", "content").mapInPandas(decode, BRICK_SCHEMA)
 
 
+def scan_bricks(decoded: DataFrame) -> DataFrame:
+    """Readable bricks of files named ``<case>-<modality>.nii.gz``, keyed by case and modality."""
+    names = {"case_id": ids.case_of(F.col("path")), "modality": ids.modality_of(F.col("path"))}
+    return decoded.where("status = 'ok'").withColumns(names).drop("path", "channel", "status", "error")
+
+
 def encode_files(df: DataFrame, path: Column, values: str, shape: Sequence[int], writer=write_nifti) -> DataFrame:
     """Scan files as rows ``(path, content)`` from flat float arrays."""
     want = tuple(shape)
