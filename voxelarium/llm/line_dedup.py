@@ -65,7 +65,8 @@ def drop_repeated_lines(
         .agg(F.collect_set("position").alias("positions"))
     )
     digest, positions = (free_name(docs.columns, c) for c in ("text_digest", "drop_positions"))
-    hits = hits.select(F.col("digest").alias(digest), F.col("positions").alias(positions))
+    # Read back, a side of the join that Spark can split where many documents share a text.
+    hits = materialise(hits, "line-hits").select(F.col("digest").alias(digest), F.col("positions").alias(positions))
     lines, n_lines = F.split(text, "\n"), F.size(F.split(text, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col(positions))
     joined = docs.withColumn(digest, sha256(text)).join(hits, digest, "left")
