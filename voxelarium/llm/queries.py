@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelarium.llm import decontamination, exact_dedup, language_id, line_dedup, packing, simhash, tokens
+import corpus_pipeline
+from voxelarium.llm import decontamination, exact_dedup, language_id, line_dedup, main_text, packing, secrets, simhash, tokens
 from voxelarium.llm.common import read
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(read(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -38,7 +43,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.page_texts(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_simhash": op4_simhash,
@@ -46,5 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
+    "op10_main_text": op10_main_text,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op5_decontamination": decontamination.SQL}
