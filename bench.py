@@ -13,6 +13,7 @@ import time
 
 from voxelarium.plans import QUERIES
 from voxelarium.session import local_session
+from voxelarium.storage import scratch
 
 HEADLINES = [
     "cohort_intensity_stats",
@@ -58,9 +59,9 @@ def measure(spark, sf_dir: str, name: str, runs: int) -> float:
     seconds = []
     for _ in range(runs + 1):
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds.append(time.perf_counter() - start)
-        spark.catalog.clearCache()
+        with scratch(spark):
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            seconds.append(time.perf_counter() - start)
     return round(statistics.median(seconds[1:]), 3)
 
 

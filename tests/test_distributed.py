@@ -1,4 +1,4 @@
-"""Ranks, running totals and percentiles on skewed data, on every code path."""
+"""Ranks, running totals and percentiles on skewed data."""
 
 import numpy as np
 import pytest
@@ -20,16 +20,10 @@ def skewed(spark):
     return values, frame
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
 @pytest.mark.parametrize("accuracy", [200, 10_000])
-@pytest.mark.parametrize("window_rows", [1, 2_000_000])
-@pytest.mark.parametrize("broadcast_rows", [1, 100_000])
-@pytest.mark.parametrize("small_group", [0, 20_000])
-def test_percentiles(skewed, monkeypatch, accuracy, window_rows, broadcast_rows, small_group):
-    if small_group and (window_rows == 1 or broadcast_rows == 1):
-        pytest.skip("the built-in aggregate uses neither")
-    monkeypatch.setattr(distributed, "SMALL_GROUP", small_group)
-    monkeypatch.setattr(distributed, "WINDOW_ROWS", window_rows)
-    monkeypatch.setattr(distributed, "BROADCAST_ROWS", broadcast_rows)
+def test_percentiles(spark, skewed, accuracy, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     values, frame = skewed
     found = distributed.exact_percentiles(frame, ["key"], "value", FRACTIONS, accuracy).collect()
     assert len(found) == len(values)
@@ -39,9 +33,7 @@ def test_percentiles(skewed, monkeypatch, accuracy, window_rows, broadcast_rows,
         assert (row.n, row.mn, row.mx) == (len(values[row.key]), values[row.key].min(), values[row.key].max())
 
 
-@pytest.mark.parametrize("small_group", [0, 20_000])
-def test_percentiles_of_arrays(skewed, monkeypatch, small_group):
-    monkeypatch.setattr(distributed, "SMALL_GROUP", small_group)
+def test_percentiles_of_arrays(skewed):
     values, frame = skewed
     packed = frame.groupBy("key", F.expr("pmod(hash(value), 9)")).agg(F.collect_list("value").alias("values"))
     found = distributed.exact_percentiles(packed, ["key"], "values", [0.995], 200, packed=True).collect()

@@ -8,6 +8,9 @@ split sizes are floored and the first row wins on ties.
 # File-name codes of the four modalities and their display names.
 MODALITY_NAMES = {"t1c": "T1ce", "t1n": "T1n", "t2f": "FLAIR", "2w": "T2w", "t2w": "T2w"}
 
+# Fixed value: file-name code of segmentations.
+SEGMENTATION_CODE = "seg"
+
 # Display names of the segmentation labels.
 LABEL_NAMES = {
     1: "edema (ET)",
@@ -41,7 +44,9 @@ PATIENT_PATTERN = r"BraTS-GLI-(\d+)-"
 SEQUENCE_PATTERN = r"-(\d{3})$"
 MODALITY_PATTERN = r"-([^-]+)\.nii\.gz$"
 CLASS_FOLDER_PATTERN = r"/(train|val|test)/(\d+)/[^/]+\.nii\.gz$"
-EPOCH_LINE_PATTERN = (
-    r"Epoch +(\d+) \| Train: loss=([\d.]+) acc=([\d.]+) \| Val: loss=([\d.]+) acc=([\d.]+)"
+_NUMBER = r"([-+]?(?:\d[\d.]*(?:e[-+]?\d+)?|nan|inf))"
+EPOCH_LINE_PATTERNS = (
+    rf"(?i)Epoch +(\d+) \| Train: loss={_NUMBER} acc={_NUMBER} \| Val: loss={_NUMBER} acc={_NUMBER}",
+    rf"(?i)Epoch +(\d+)/\d+ \| train_loss={_NUMBER} train_acc={_NUMBER} \| val_loss={_NUMBER} val_acc={_NUMBER}",
 )
 LOG_TIME_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})"

@@ -86,36 +86,30 @@ def face_contacts(labelled: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def merge_components(contacts: DataFrame, max_rounds: int = 100) -> DataFrame:
+def merge_components(contacts: DataFrame) -> DataFrame:
     """Smallest reachable label of every component in contact with another.
 
-    Each round takes the minimum over the neighbours and then jumps to the label
-    of that label.  The rounds stop when nothing changes; each is checkpointed,
-    so a lost executor costs at most one round.
+    The contacts of a case are bounded by the faces of its bricks, so each case
+    is settled at once in one task; cases are many and spread evenly.
     """
-    both = contacts.unionByName(contacts.select("case_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = cut_lineage(both.distinct())
-    labels = edges.groupBy("case_id", F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
-        "case_id", "node", F.least("node", "m").alias("comp")
-    )
-    for _ in range(max_rounds):
-        near = (
-            edges.join(labels.withColumnRenamed("node", "b"), ["case_id", "b"])
-            .groupBy("case_id", F.col("a").alias("node"))
-            .agg(F.min("comp").alias("near"))
-        )
-        step = labels.join(near, ["case_id", "node"]).select(
-            "case_id", "node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp")
-        )
-        target = labels.select("case_id", F.col("node").alias("comp"), F.col("comp").alias("jump"))
-        step = step.join(target, ["case_id", "comp"], "left").select(
-            "case_id", "node", "was", F.least("comp", F.coalesce("jump", "comp")).alias("comp")
-        )
-        step = cut_lineage(step)
-        labels = step.drop("was")
-        if step.where(F.col("was") != F.col("comp")).isEmpty():
-            return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
+
+    def settle(pairs: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            while parent.setdefault(node, node) != node:
+                parent[node] = parent[parent[node]]
+                node = parent[node]
+            return node
+
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        return pd.DataFrame({"case_id": pairs["case_id"].iloc[0], "node": nodes, "comp": list(map(root, nodes))})
+
+    case = contacts.schema["case_id"].dataType.simpleString()
+    return contacts.groupBy("case_id").applyInPandas(settle, f"case_id {case}, node long, comp long")
 
 
 def component_sizes(labelled: DataFrame, merged: DataFrame) -> DataFrame:

@@ -11,34 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelarium.storage import materialise
 
-# Largest summary that is broadcast, largest group whose values one aggregation
-# buffer may hold, and largest group that one window task sorts.
-BROADCAST_ROWS = 100_000
-SMALL_GROUP = 20_000
-WINDOW_ROWS = 2_000_000
-
-
-def join_summary(
-    rows: DataFrame,
-    summary: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def join_summary(rows: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join an aggregate back to ``rows``.
 
-    The aggregate is computed once and counted.  Up to ``max_rows`` narrow rows
-    it is broadcast, so that ``rows`` stay where they are; a larger one is
+    The aggregate is written first, so that Spark knows its size in bytes: below
+    its own limit for broadcasts ``rows`` stay where they are, above it they are
     joined by a shuffle, where adaptive execution splits skewed keys.
     """
-    summary = summary.persist(StorageLevel.MEMORY_AND_DISK)
-    side = F.broadcast(summary) if summary.count() <= max_rows else summary
-    return rows.join(side, list(keys), how)
+    return rows.join(materialise(summary, "summary"), list(keys), how)
 
 
 def exact_percentiles(
@@ -55,10 +39,11 @@ def exact_percentiles(
     A mergeable sketch brackets every wanted rank, then one more pass counts
     what lies below each bracket and keeps only the values inside.  A bracket
     holds about ``8 * n / accuracy`` rows; groups of at most ``accuracy`` rows
-    are kept whole.  A bracket that missed its rank raises instead of guessing.
-    If no group exceeds ``SMALL_GROUP`` rows, the built-in aggregate is used: its
-    buffers are small then, and no join is needed.  With ``packed`` the value column is an array, unpacked only after the
-    brackets were joined, so that at most compact rows are shuffled.
+    are kept whole.  Equal values are one row with a count, and those of a group
+    are ranked in one task, which a higher ``accuracy`` keeps small for groups
+    beyond 10^11 rows.  A bracket that missed its rank raises instead of
+    guessing.  With ``packed`` the value column is an array, unpacked only after
+    the brackets were joined, so that at most compact rows are shuffled.
 
     Returns ``keys, n, mn, mx`` and, for the i-th fraction, ``p{i}``; on request
     also its neighbours in the data, ``p{i}_lo`` and ``p{i}_hi``.
@@ -85,35 +70,21 @@ def exact_percentiles(
             f"if(n <= {accuracy} or {p} <= {margin}, mn, get(_q, {2 * i})) as _lo{i}",
             f"if(n <= {accuracy} or {p} >= {1 - margin}, mx, get(_q, {2 * i + 1})) as _hi{i}",
         ]
-    summary = sketch.selectExpr(*keys, "n", "mn", "mx", *brackets).persist(StorageLevel.MEMORY_AND_DISK)
-    size = summary.agg(F.expr("count(1) as groups"), F.expr("max(n) as largest")).first()
-    if (size.largest or 0) <= SMALL_GROUP and not neighbours:
-        wanted = ", ".join(f"{float(p)!r}D" for p in fractions)
-        whole = unpacked(compact).groupBy(*keys).agg(
-            F.expr("count(1) as n"),
-            F.expr("min(_v) as mn"),
-            F.expr("max(_v) as mx"),
-            F.expr(f"percentile(_v, array({wanted})) as _p"),
-        )
-        return whole.selectExpr(*keys, "n", "mn", "mx", *[f"_p[{i}] as p{i}" for i in range(len(fractions))])
-    side = F.broadcast(summary) if size.groups <= BROADCAST_ROWS else summary
+    summary = sketch.selectExpr(*keys, "n", "mn", "mx", *brackets)
     # Values between brackets only count: they move to the lower edge of the next one.
     many = range(len(fractions))
     inside = " or ".join(f"_v between _lo{i} and _hi{i}" for i in many)
     gates = ", ".join(f"if(_lo{i} > _v, _lo{i}, null)" for i in many)
     counted = (
-        unpacked(compact.join(side, keys))
+        unpacked(join_summary(compact, summary, keys))
         .selectExpr(*keys, "n", "mn", "mx", f"{inside} as _in", f"if({inside}, _v, least({gates}, null, null)) as _at")
         .where("_at is not null")
         .groupBy(*keys, "_at", "_in")
         .agg(*[F.expr(e) for e in ("count(1) as c", "max(n) as n", "max(mn) as mn", "max(mx) as mx")])
     )
-    if 8 * len(fractions) * (size.largest or 0) / accuracy > WINDOW_ROWS:
-        ranked = running_totals(materialise(counted, "ranks"), "_at", ["c"], keys, ties=["_in"])
-    else:
-        order = Window.partitionBy(*keys).orderBy("_at", "_in")
-        upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = counted.withColumn("cum_c", F.sum("c").over(upto))
+    order = Window.partitionBy(*keys).orderBy("_at", "_in")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counted.withColumn("cum_c", F.sum("c").over(upto))
     picks, columns = [], []
     for i, p in enumerate(fractions):
         rank = f"{float(p)!r}D * (n - 1)"
@@ -138,9 +109,9 @@ def seeded_hash(seed: Column | int | str, *parts: str | Column) -> Column:
     return F.md5(F.concat_ws("|", first.cast("string"), *[c.cast("string") for c in columns]))
 
 
-def hash_to_int(digest: Column, start: int = 1) -> Column:
-    """Eight hex digits of a digest as a non-negative integer."""
-    return F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
+def hash_to_int(digest: Column, start: int = 1, digits: int = 8) -> Column:
+    """Hex digits of a digest, 15 at most, as a non-negative integer."""
+    return F.conv(F.substring(digest, start, digits), 16, 10).cast("bigint")
 
 
 def hashed_rank(df: DataFrame, key: str, seed: int, group: Sequence[str] = ()) -> DataFrame:

@@ -6,9 +6,9 @@ many runs there are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxelarium.conventions import EPOCH_LINE_PATTERN, LOG_TIME_PATTERN
+from voxelarium.conventions import EPOCH_LINE_PATTERNS, LOG_TIME_PATTERN
 
 
 def early_stop(hist: DataFrame, patience: int, run: str = "run", metric: str = "val_loss") -> DataFrame:
@@ -104,17 +104,24 @@ def best_checkpoint(hist: DataFrame, metric: str, mode: str = "min", run: str =
 
 
 def parse_epoch_lines(lines: DataFrame, *keys: str, text: str = "value") -> DataFrame:
-    """Epoch lines of a training log as rows; other lines are skipped."""
+    """Epoch lines of a training log, in either form, as rows; other lines are skipped.
+
+    Losses may be negative, in scientific notation, infinite or not a number.
+    """
     line = F.col(text)
+
+    def part(i: int) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(line, p, i), F.lit("")) for p in EPOCH_LINE_PATTERNS])
+
     numbers = {
-        name: F.regexp_extract(line, EPOCH_LINE_PATTERN, i).try_cast("double")
+        name: part(i).try_cast("double")
         for i, name in enumerate(["train_loss", "train_acc", "val_loss", "val_acc"], start=2)
     }
     moment = F.regexp_extract(line, LOG_TIME_PATTERN, 1)
-    return lines.where(line.rlike(EPOCH_LINE_PATTERN)).select(
+    return lines.where(part(1).isNotNull()).select(
         *keys,
         F.try_to_timestamp(F.replace(moment, F.lit(","), F.lit(".")), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("ts"),
-        F.regexp_extract(line, EPOCH_LINE_PATTERN, 1).cast("int").alias("epoch"),
+        part(1).cast("int").alias("epoch"),
         *[c.alias(name) for name, c in numbers.items()],
     )
 

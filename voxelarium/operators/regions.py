@@ -161,3 +161,22 @@ def dice(pairs: DataFrame, regions: Mapping[str, Sequence[int]], keys: Sequence[
     long = wide.select(*keys, F.inline(F.array(*cells)))
     score = F.try_divide(2.0 * F.col("n_both"), F.col("n_a") + F.col("n_b"))
     return long.withColumn("dice", F.coalesce(score, F.lit(1.0)))
+
+
+def labels_per_mask(seg: DataFrame) -> DataFrame:
+    """Distinct labels of each mask, in order, and their number."""
+    found = seg.groupBy("case_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return found.select("case_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"), F.size("labels").alias("n_labels"))
+
+
+def case_metadata(vox: DataFrame, seg: DataFrame, modalities: Sequence) -> DataFrame:
+    """One row per case: size and moments of each modality, mask labels and region volumes, absences."""
+    value, is_ = F.col("value"), lambda m: F.col("modality") == m
+    parts = []
+    for i, m in enumerate(modalities):
+        here = F.when(is_(m), value)
+        parts += [F.count(here).alias(f"n_{i}"), F.avg(here).alias(f"mean_{i}"), F.stddev_pop(here).alias(f"std_{i}")]
+    absent = F.array_compact(F.array(*[F.when(F.col(f"n_{i}") == 0, F.lit(str(m))) for i, m in enumerate(modalities)]))
+    scans = vox.groupBy("case_id").agg(*parts).withColumn("missing", F.array_join(absent, ","))
+    volumes = derive_labels(seg).select("case_id", "et_volume", "tc_volume", "wt_volume")
+    return scans.join(labels_per_mask(seg), "case_id", "left").join(volumes, "case_id", "left")

@@ -153,5 +153,5 @@ def fit_baseline(df: DataFrame, features: Sequence[str], label: str, weight: str
     from pyspark.ml.feature import VectorAssembler
 
     assembler = VectorAssembler(inputCols=list(features), outputCol="assembled")
-    model = LogisticRegression(featuresCol="assembled", labelCol=label, weightCol=weight, maxIter=50)
+    model = LogisticRegression(featuresCol="assembled", labelCol=label, weightCol=weight, maxIter=200, tol=1e-10)
     return Pipeline(stages=[assembler, model]).fit(df)

@@ -80,13 +80,13 @@ def balanced_batches(
     )
     wanted = F.when(F.col("slot") < half, 1).otherwise(0)
     room = F.when(F.col("slot") < half, F.col("t.n1")).otherwise(F.col("t.n0"))
-    draw = hash_to_int(seeded_hash(seed, "batch", "slot"))
+    draw = hash_to_int(seeded_hash(seed, "batch", "slot"), digits=15)
     slots = slots.where(F.col("slot") < 2 * half).select(
         "batch",
         "slot",
         wanted.alias(label),
         (draw % F.greatest(room, F.lit(1)) + 1).alias("rn"),
-        hash_to_int(seeded_hash(seed, "batch", "slot", F.lit("place"))).alias("position"),
+        hash_to_int(seeded_hash(seed, "batch", "slot", F.lit("place")), digits=15).alias("position"),
     )
     return slots.join(ranked.select(key, label, "rn"), [label, "rn"]).drop("rn")
 

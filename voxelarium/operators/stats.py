@@ -247,6 +247,11 @@ def inspect_files(vox: DataFrame, unreadable: DataFrame | None = None) -> DataFr
     return files
 
 
+def bad_files(files: DataFrame) -> DataFrame:
+    """Files that ``inspect_files`` found unusable, with the reason."""
+    return files.where("reason IS NOT NULL").select("label", "case_id", "reason")
+
+
 def inspect_dataset(files: DataFrame) -> DataFrame:
     """Class counts and shares with the cohort means of the readable files; bad files still count."""
     per_class = files.groupBy("label").agg(

@@ -71,8 +71,12 @@ def mask_bricks(bricks: DataFrame, modality, threshold: float = MASK_THRESHOLD)
 
 
 def apply_mask(bricks: DataFrame, mask: DataFrame) -> DataFrame:
-    """Bring the mask of a case to all its modalities, one row per brick."""
-    return bricks.join(mask, BRICK_KEYS)
+    """Bring the mask of a case to all its modalities, one row per brick.
+
+    Where the mask has no brick, nothing lies inside.
+    """
+    outside = F.transform("values", lambda v: F.lit(False))
+    return bricks.join(mask, BRICK_KEYS, "left").withColumn("inside", F.coalesce("inside", outside))
 
 
 def explode_masked(masked: DataFrame) -> DataFrame:

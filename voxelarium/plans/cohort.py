@@ -11,7 +11,7 @@ from voxelarium.operators import cohort, regions, scoring, stats
 from voxelarium.operators import voxels as v
 from voxelarium.plans.intensity import EVENT_TYPES
 from voxelarium.plans.regions import LABELS_SQL
-from voxelarium.plans.registry import LAB, SCAN, SEG, VOX, query, r, rounded
+from voxelarium.plans.registry import LAB, SCAN, SEG, VOX, VOX64, query, r, rounded
 from voxelarium.plans.voxels import CTN_SQL
 from voxelarium.sinks import tables as sinks
 from voxelarium.sources import inventory, tables, volumes
@@ -236,19 +236,34 @@ def features_by_id(spark, sf_dir):
 # Files ---------------------------------------------------------------------
 
 
-@query("scan_inventory")
+def _class_files(spark, sf_dir):
+    """One text file per class of ``labels``, a line with the id of each row."""
+    path = new_folder(spark, "classes")
+    rows = b.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string"), F.col("quality").alias("class"))
+    rows.repartition("class").write.partitionBy("class").text(path)
+    return inventory.scan_inventory(spark, path, "*.txt").withColumn("root", F.regexp_extract("path", r"class=(\d+)/", 1))
+
+
+CLASS_FILES_SQL = """files AS (SELECT CAST(quality AS VARCHAR) AS root,
+      CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM labels GROUP BY quality)"""
+
+
+@query("scan_inventory", f"WITH {CLASS_FILES_SQL} SELECT root, '.txt' AS suffix, bytes AS length FROM files")
 def scan_inventory(spark, sf_dir):
-    return inventory.scan_inventory(spark, sf_dir, "*.parquet").orderBy("path")
+    return _class_files(spark, sf_dir).select("root", F.right("name", F.lit(4)).alias("suffix"), "length")
 
 
-@query("inventory_summary")
+@query(
+    "inventory_summary",
+    f"""WITH {CLASS_FILES_SQL} SELECT root, 1::BIGINT AS n_files, bytes, 'ok' AS status FROM files
+    UNION ALL SELECT 'bare', 0, 0, 'empty' UNION ALL SELECT 'gone', 0, 0, 'missing'""",
+)
 def inventory_summary(spark, sf_dir):
-    files = inventory.scan_inventory(spark, sf_dir, "*.parquet").select(
-        F.substring_index("name", ".", 1).alias("root"), "length"
-    )
-    named = b.table(spark, sf_dir, "events").select(F.concat(F.lit("events_"), "event_type").alias("root")).distinct()
-    expected = files.select("root").distinct().unionByName(named)
-    return inventory.inventory_summary(expected, files)
+    files = _class_files(spark, sf_dir).select("root", "length")
+    bare = spark.range(1).select(F.lit("bare").alias("root"), F.lit(None).cast("bigint").alias("length"))
+    gone = spark.range(1).select(F.lit("gone").alias("root"))
+    expected = files.select("root").unionByName(bare.select("root")).unionByName(gone)
+    return inventory.inventory_summary(expected, files.unionByName(bare))
 
 
 @query(
@@ -329,20 +344,104 @@ def array_files(spark, sf_dir):
     )
 
 
+MASK_SQL = f"""{VOX64}, mask AS (SELECT case_id, x, y, z, CASE WHEN value > 0.1 THEN 3 WHEN value > 0 THEN 1 ELSE 0 END AS label
+      FROM vox64)"""
+
+
+def _scan_files(spark, sf_dir, suffix):
+    name = F.concat(F.lit("/scans/case"), F.col("vec_id").cast("string"), suffix)
+    return b.table(spark, sf_dir, "embeddings").withColumn("name", name)
+
+
+@query(
+    "decoded_segmentations",
+    f"WITH {MASK_SQL} SELECT concat('case', case_id) AS case_id, label, count(*) AS voxels FROM mask WHERE label > 0 GROUP BY ALL",
+)
+def decoded_segmentations(spark, sf_dir):
+    """From mask files to voxels per label."""
+    label = F.transform(
+        "embedding", lambda x: F.when(x.cast("double") > 0.1, 3.0).when(x.cast("double") > 0, 1.0).otherwise(0.0).cast("float")
+    )
+    vectors = _scan_files(spark, sf_dir, F.lit("-seg.nii.gz")).withColumn("mask", label)
+    decoded = volumes.decode_volumes(volumes.encode_files(vectors, F.col("name"), "mask", (4, 4, 4)), size=(3, 3, 3))
+    labelled = volumes.segmentation_voxels(decoded)
+    return labelled.groupBy("case_id", "label").agg(F.count(F.lit(1)).alias("voxels"))
+
+
+STACK = ["t1c", "t1n", "t2f", "t2w"]
+
+
+@query(
+    "stacked_array_bricks",
+    f"""WITH {VOX} SELECT concat('case', case_id) AS case_id, ['t1c', 't1n', 't2f', 't2w'][modality + 1] AS modality,
+      count(*) AS n, {r('sum(value)')} AS total FROM vox GROUP BY ALL""",
+)
+def stacked_array_bricks(spark, sf_dir):
+    """From arrays with all modalities to bricks with their keys."""
+    vectors = _scan_files(spark, sf_dir, F.lit(".npy"))
+    files = volumes.encode_files(vectors, F.col("name"), "embedding", (4, 4, 2, 2), volumes.write_npy)
+    decoded = volumes.decode_volumes(files, volumes.read_npy((4, 4, 2, 2)), (3, 3, 3))
+    cells = v.explode_bricks(volumes.stacked_bricks(decoded, STACK))
+    return rounded(cells.groupBy("case_id", "modality").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
+
+
+FILE_KIND_SQL = """CASE label % 4 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'unnamed' WHEN 2 THEN 'several channels' END"""
+
+
+@query(
+    "undecodable_files",
+    f"""WITH f AS (SELECT vec_id, label, {FILE_KIND_SQL} AS problem FROM embeddings)
+    SELECT concat('/scans/case', vec_id, CASE label % 4 WHEN 1 THEN '.nii' ELSE '-t1n.nii.gz' END) AS path, problem
+    FROM f WHERE problem IS NOT NULL""",
+)
+def undecodable_files(spark, sf_dir):
+    """Files cut short, without a modality in their name, or with four channels."""
+    kind = F.col("label") % 4
+    vectors = _scan_files(spark, sf_dir, F.when(kind == 1, ".nii").otherwise("-t1n.nii.gz"))
+    stacked = volumes.encode_files(vectors.where(kind == 2), F.col("name"), "embedding", (4, 4, 2, 2))
+    single = volumes.encode_files(vectors.where(kind != 2), F.col("name"), "embedding", (4, 4, 4))
+    broken = volumes.encode_files(vectors.where(kind == 0), F.col("name"), "embedding", (4, 4, 4)).select(
+        "path", F.expr("substring(content, 1, 20)").alias("content")
+    )
+    files = stacked.union(single.join(broken.select("path"), "path", "left_anti")).union(broken)
+    return volumes.undecodable_files(volumes.decode_volumes(files)).select("path", "problem")
+
+
 # Sinks, each read back ------------------------------------------------------
 
 
+def _label_file(spark, sf_dir):
+    """Label table with padded names in an order of their own and some texts that are no numbers."""
+    derived = regions.derive_labels(b.seg(spark, sf_dir), b.cases(spark, sf_dir))
+    spoilt = F.when(F.col("case_id") % 50 == 0, F.lit("high")).otherwise(F.col("grade_proxy").cast("string"))
+    blurred = F.when(F.col("case_id") % 100 == 0, F.lit("1,5")).otherwise(F.col("wt_volume").cast("string"))
+    padded = F.concat(F.lit(" "), F.col("case_id").cast("string"), F.lit(" "))
+    path = new_folder(spark, "labels")
+    sinks.write_table(
+        derived.select("et_volume", spoilt.alias("Grade_Proxy"), "wt", blurred.alias(" WT_volume "), "tc_volume",
+                       padded.alias(" Case"), "et", "tc"),
+        path, "csv", header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
+    return path
+
+
 @query(
     "labels_csv_roundtrip",
     f"""WITH {LABELS_SQL} SELECT CAST(case_id AS VARCHAR) AS case_id, et, tc, wt, wt_volume, tc_volume, et_volume,
-      grade_proxy AS label FROM derived""",
+      grade_proxy AS label FROM derived WHERE case_id % 50 <> 0""",
 )
 def labels_csv_roundtrip(spark, sf_dir):
-    labels = regions.derive_labels(b.seg(spark, sf_dir), b.cases(spark, sf_dir)).withColumnRenamed("case_id", " Case")
-    path = new_folder(spark, "labels")
-    sinks.write_table(labels.select(" Case", "et", "tc", "wt", "wt_volume", "tc_volume", "et_volume", "grade_proxy"),
-                      path, "csv", header=True)
-    return tables.read_labels(spark, path)
+    return tables.read_labels(spark, _label_file(spark, sf_dir))
+
+
+@query(
+    "malformed_labels",
+    f"""WITH {LABELS_SQL} SELECT CAST(case_id AS VARCHAR) AS case_id,
+      CASE WHEN case_id % 100 = 0 THEN 'wt_volume,grade_proxy' ELSE 'grade_proxy' END AS malformed
+    FROM derived WHERE case_id % 50 = 0""",
+)
+def malformed_labels(spark, sf_dir):
+    return tables.malformed_labels(spark, _label_file(spark, sf_dir))
 
 
 @query(

@@ -146,6 +146,20 @@ def dataset_inspection(spark, sf_dir):
     return rounded(stats.inspect_dataset(stats.inspect_files(zeroed)))
 
 
+@query(
+    "bad_files",
+    f"""SELECT label, vec_id AS case_id, 'all-zero volume' AS reason FROM embeddings WHERE label = 0 AND vec_id % 5 <> 0
+    UNION ALL SELECT label, vec_id, 'unreadable' FROM embeddings WHERE vec_id % 5 = 0""",
+)
+def bad_files(spark, sf_dir):
+    """Volumes of zeros and files that did not decode."""
+    classes = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("case_id"), "label")
+    vox = v.explode_bricks(b.bricks(spark, sf_dir).join(classes.where("case_id % 5 <> 0"), "case_id"), "label")
+    zeroed = vox.withColumn("value", F.when(F.col("label") == 0, 0.0).otherwise(F.col("value")))
+    failed = classes.where("case_id % 5 = 0").withColumn("reason", F.lit("unreadable"))
+    return stats.bad_files(stats.inspect_files(zeroed, failed))
+
+
 @query(
     "stats_cube",
     f"""WITH {SCAN} SELECT coalesce(modality, 'all') AS modality, coalesce(patient, -1) AS patient,

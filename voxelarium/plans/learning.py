@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from voxelarium import bindings as b
@@ -87,8 +88,8 @@ def split_leakage(spark, sf_dir):
     t AS (SELECT count(*) AS n, count(*) FILTER (grade = 1) AS n1, count(*) FILTER (grade = 0) AS n0 FROM lab),
     slots AS (SELECT i // 8 AS batch, CAST(i % 8 AS INTEGER) AS slot FROM (SELECT unnest(range((n // 8) * 8)) AS i FROM t)),
     draws AS (SELECT batch, slot, CASE WHEN slot < 4 THEN 1 ELSE 0 END AS grade,
-      {hash_sql('42', 'batch', 'slot')} % CASE WHEN slot < 4 THEN n1 ELSE n0 END + 1 AS rn,
-      {hash_sql('42', 'batch', 'slot', "'place'")} AS position FROM slots CROSS JOIN t)
+      {hash_sql('42', 'batch', 'slot', digits=15)} % CASE WHEN slot < 4 THEN n1 ELSE n0 END + 1 AS rn,
+      {hash_sql('42', 'batch', 'slot', "'place'", digits=15)} AS position FROM slots CROSS JOIN t)
     SELECT d.batch, d.slot, d.grade, d.position, k.case_id FROM draws d JOIN ranked k ON k.grade = d.grade AND k.rn = d.rn""",
 )
 def balanced_batches(spark, sf_dir):
@@ -292,14 +293,26 @@ def batch_mean_losses(spark, sf_dir):
     return rounded(scoring.mean_of_batch_means(losses, 32))
 
 
-@query("fitted_baseline")
+@query(
+    "fitted_baseline",
+    f"""WITH {LAB}, c AS (SELECT grade, (1 - 0.999::DOUBLE) / (1 - pow(0.999::DOUBLE, count(*))) AS w FROM lab GROUP BY grade),
+    x AS (SELECT grade, 1.0::DOUBLE AS intercept, ln(1 + et_volume) / 12 AS et_log, ln(1 + wt_volume) / 12 AS wt_log,
+      w * 2 / (SELECT sum(w) FROM c) AS w FROM lab JOIN c USING (grade)),
+    s AS (UNPIVOT (SELECT sum(w * grade * intercept) / sum(w) AS intercept, sum(w * grade * et_log) / sum(w) AS et_log,
+      sum(w * grade * wt_log) / sum(w) AS wt_log FROM x) ON intercept, et_log, wt_log INTO NAME feature VALUE v)
+    SELECT feature, {r('v', 4)} AS fitted FROM s""",
+)
 def fitted_baseline(spark, sf_dir):
+    """Weighted means of probability times feature; at the optimum they are those of label times feature."""
     labels = scoring.scalar_features(b.lab(spark, sf_dir))
     by_class = weights.effective_number_weights(labels, "grade").select("grade", "weight")
     weighted = labels.join(F.broadcast(by_class), "grade")
-    model = scoring.fit_baseline(weighted, ["et_log", "wt_log", "ratio_train"], "grade", "weight")
-    scored = model.transform(weighted)
-    return scored.groupBy("grade", F.col("prediction").cast("int").alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+    features = ["et_log", "wt_log"]
+    scored = scoring.fit_baseline(weighted, features, "grade", "weight").transform(weighted)
+    chance = F.get(vector_to_array("probability"), F.lit(1)) * F.col("weight")
+    named = {"intercept": F.lit(1.0), **{f: F.col(f) for f in features}}
+    means = scored.agg(*[F.try_divide(F.sum(chance * x), F.sum("weight")).alias(f) for f, x in named.items()])
+    return rounded(means.unpivot([], list(named), "feature", "fitted"), 4)
 
 
 # Ranking, calibration, fusion -----------------------------------------------------
@@ -508,10 +521,15 @@ def _log_lines(spark, sf_dir):
         F.max("ts").alias("last"), (F.max("value") / 100).alias("v"), (F.min("value") / 100).alias("t")
     )
     stamp = F.concat(F.date_format("last", "yyyy-MM-dd HH:mm:ss"), F.lit(","), F.date_format("last", "SSS"))
-    text = F.format_string(
+    first = F.format_string(
         "%s INFO Epoch %3d | Train: loss=%.4f acc=0.5000 | Val: loss=%.4f acc=0.7500 f1=0.0000",
         stamp, "epoch", "t", "v",
     )
+    second = F.format_string(
+        "%s - INFO - Epoch %d/50 | train_loss=%.4fe-00 train_acc=0.5000 | val_loss=%.4f val_acc=0.7500",
+        stamp, "epoch", "t", "v",
+    )
+    text = F.when(F.col("epoch") % 2 == 0, second).otherwise(first)
     start = F.concat(stamp, F.lit(" INFO Training on cuda"))
     return daily.select("run", F.explode(F.array(start, text)).alias("value"))
 

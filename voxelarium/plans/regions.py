@@ -8,7 +8,7 @@ from voxelarium import bindings as b
 from voxelarium.conventions import LABEL_NAMES, REGION_PRESETS
 from voxelarium.operators import regions, stats
 from voxelarium.operators.splits import label_leakage
-from voxelarium.plans.registry import SEG, query, r, rounded
+from voxelarium.plans.registry import SEG, VOX, query, r, rounded
 
 NAME_SQL = "CASE label " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in LABEL_NAMES.items()) + " END"
 MAP_SQL = "map(region, label) AS (VALUES " + ", ".join(
@@ -162,3 +162,32 @@ def region_dice(spark, sf_dir):
         (F.round("l_extendedprice").cast("bigint") % 5).alias("b"),
     )
     return rounded(regions.dice(pairs, REGION_PRESETS["preproc"], ["case_id"]))
+
+
+MASK_LABELS_SQL = """masks AS (SELECT case_id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY label) AS labels,
+    CAST(count(*) AS INTEGER) AS n_labels FROM (SELECT DISTINCT case_id, label FROM seg) GROUP BY case_id)"""
+
+
+@query("labels_per_mask", f"WITH {SEG}, {MASK_LABELS_SQL} SELECT * FROM masks")
+def labels_per_mask(spark, sf_dir):
+    return regions.labels_per_mask(b.seg(spark, sf_dir))
+
+
+@query(
+    "case_metadata",
+    f"""WITH {VOX}, {LABELS_SQL}, {MASK_LABELS_SQL}, have AS (SELECT * FROM vox WHERE modality <> 2 OR case_id % 3 <> 0),
+    m AS (SELECT case_id, {", ".join(
+        f"count(*) FILTER (modality = {i}) AS n_{i}, {r(f'coalesce(avg(value) FILTER (modality = {i}), 0)')} AS mean_{i}, "
+        f"{r(f'coalesce(stddev_pop(value) FILTER (modality = {i}), 0)')} AS std_{i}" for i in range(4)
+    )}, CASE WHEN case_id % 3 = 0 THEN '2' ELSE '' END AS missing FROM have GROUP BY case_id)
+    SELECT m.*, coalesce(labels, '') AS labels, coalesce(n_labels, 0) AS n_labels,
+      CASE WHEN labels IS NULL THEN -1 ELSE et_volume END AS et_volume, CASE WHEN labels IS NULL THEN -1 ELSE tc_volume END AS tc_volume,
+      CASE WHEN labels IS NULL THEN -1 ELSE wt_volume END AS wt_volume
+    FROM m LEFT JOIN masks USING (case_id) LEFT JOIN derived USING (case_id)""",
+)
+def case_metadata(spark, sf_dir):
+    """Every third case lacks a modality; cases without a mask have -1 volumes."""
+    vox = b.vox(spark, sf_dir).where("modality <> 2 OR case_id % 3 <> 0")
+    found = regions.case_metadata(vox, b.seg(spark, sf_dir), range(4))
+    absent = {**{f"{k}_{i}": 0.0 for k in ("mean", "std") for i in range(4)}, "labels": "", "n_labels": 0}
+    return rounded(found.fillna(absent).fillna(-1.0, ["et_volume", "tc_volume", "wt_volume"]))

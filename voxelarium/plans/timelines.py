@@ -230,7 +230,9 @@ def streaming_ingest(spark, sf_dir):
     for _ in range(2):  # the second start finds nothing left to do
         jobs.incremental_ingest(rows, labels, errors, progress)
     good = sinks.current_labels(spark.read.schema("case_id bigint, label int, batch bigint").parquet(labels))
-    failed = spark.read.schema("case_id bigint, label int, status string").parquet(errors)
+    failed = sinks.current_errors(
+        spark.read.schema("case_id bigint, label int, batch bigint, status string").parquet(errors)
+    ).select("case_id", "label", "status")
     return good.withColumn("status", F.lit("ok")).unionByName(failed)
 
 
@@ -240,7 +242,8 @@ def streaming_ingest(spark, sf_dir):
       row_number() OVER (PARTITION BY run ORDER BY epoch) AS i, min(val_loss) OVER (PARTITION BY run ORDER BY epoch
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM hist),
     c AS (SELECT *, i - max(CASE WHEN prev IS NULL OR val_loss < prev THEN i END) OVER (PARTITION BY run ORDER BY epoch) AS k FROM m)
-    SELECT run, epoch, {r('best')} AS best, CAST(k AS INTEGER) AS counter, CAST(k >= 5 AS INTEGER) AS stop FROM c""",
+    SELECT run, epoch, {r('best')} AS best, CAST(k AS INTEGER) AS counter, CAST(k >= 5 AS INTEGER) AS stop, 0 AS late FROM c
+    UNION ALL SELECT run, 0, {r('min(best)')}, CAST(arg_max(k, epoch) AS INTEGER), CAST(arg_max(k, epoch) >= 5 AS INTEGER), 1 FROM c GROUP BY run""",
 )
 def streaming_early_stop(spark, sf_dir):
     source, sink, progress = (new_folder(spark, p) for p in ("epochs", "monitor", "progress"))
@@ -248,4 +251,8 @@ def streaming_early_stop(spark, sf_dir):
     monitor = jobs.early_stop_monitor(jobs.read_files(spark, source), 5)
     with jobs.rocksdb_state(spark):
         jobs.write_closed_windows(monitor, sink, progress)
+        # Each run gets one more line, for an epoch before its first.
+        late = b.hist(spark, sf_dir).groupBy("run").agg(F.lit(0).alias("epoch"), F.min("val_loss").alias("val_loss"))
+        late.write.mode("append").parquet(source)
+        jobs.write_closed_windows(monitor, sink, progress)
     return rounded(spark.read.schema(monitor.schema).parquet(sink))

@@ -21,9 +21,15 @@ def current_labels(appended: DataFrame, key: str = "case_id") -> DataFrame:
     return dedup_keep_first(appended, [key], ["batch"]).drop("batch")
 
 
-def quarantine(rows: DataFrame, path: str) -> None:
-    """Failed rows, one folder per status; rows that are ok are not written."""
-    rows.where(F.col("status") != "ok").write.mode("append").partitionBy("status").parquet(path)
+def quarantine(rows: DataFrame, path: str, batch: int = 0) -> None:
+    """Failed rows with their batch, one folder per status; rows that are ok are not written."""
+    failed = rows.where(F.col("status") != "ok").withColumn("batch", F.lit(batch).cast("bigint"))
+    failed.write.mode("append").partitionBy("status").parquet(path)
+
+
+def current_errors(appended: DataFrame, key: str = "case_id") -> DataFrame:
+    """One row per case and status: the copy of the earliest batch."""
+    return dedup_keep_first(appended, [key, "status"], ["batch"]).drop("batch")
 
 
 def write_normalised(bricks: DataFrame, path: str, partitions: int | None = None) -> None:

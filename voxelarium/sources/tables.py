@@ -11,11 +11,33 @@ LABEL_SCHEMA = (
 )
 
 
+def _checked_labels(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Label rows by header name, with ``malformed``: the columns whose text is no value of their type."""
+    raw = spark.read.option("header", True).csv(path)
+    texts = raw.select(*[F.trim(F.col(f"`{c}`")).alias(c.strip().lower()) for c in raw.columns])
+    wanted = [field.split() for field in schema.split(", ")]
+    absent = [name for name, _ in wanted if name not in texts.columns]
+    if absent:
+        raise ValueError(f"{path} lacks the columns {', '.join(absent)}")
+    bad = [
+        F.when((F.col(name) != "") & F.col(name).try_cast(kind).isNull(), F.lit(name)) for name, kind in wanted
+    ]
+    typed = texts.select(*[F.col(name).try_cast(kind).alias(name) for name, kind in wanted], F.concat_ws(",", *bad).alias("malformed"))
+    return typed.withColumnsRenamed({"case": "case_id", "grade_proxy": "label"})
+
+
 def read_labels(spark: SparkSession, path: str, schema: str = LABEL_SCHEMA) -> DataFrame:
-    """Typed label rows; column names are stripped, lowered and renamed to ours."""
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    named = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    return named.withColumnsRenamed({"case": "case_id", "grade_proxy": "label"})
+    """Typed label rows of a table with a header, its columns in any order and found by name.
+
+    Names are stripped and lowered.  Rows with a text of the wrong type are not
+    among them, see ``malformed_labels``.
+    """
+    return _checked_labels(spark, path, schema).where("malformed = ''").drop("malformed")
+
+
+def malformed_labels(spark: SparkSession, path: str, schema: str = LABEL_SCHEMA) -> DataFrame:
+    """Case and malformed columns of the rows that ``read_labels`` leaves out."""
+    return _checked_labels(spark, path, schema).where("malformed <> ''").select("case_id", "malformed")
 
 
 def read_epoch_log(spark: SparkSession, path: str) -> DataFrame:

@@ -15,10 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxelarium.conventions import MODALITY_NAMES, SEGMENTATION_CODE
 from voxelarium.functions import ids
+from voxelarium.operators.voxels import explode_bricks
 
 BRICK_SCHEMA = (
-    "path string, channel int, bx int, by int, bz int, x0 int, y0 int, z0 int, "
+    "path string, channel int, channels int, bx int, by int, bz int, x0 int, y0 int, z0 int, "
     "nx int, ny int, nz int, values array<float>, status string, error string"
 )
 
@@ -95,25 +97,43 @@ def _tiles(volume: np.ndarray, size: Sequence[int]):
                     yield channel, (bx, by, bz, *corner), block
 
 
+def by_channel(volume: np.ndarray, last: bool) -> np.ndarray:
+    """``(channel, x, y, z)`` view; trailing axes of length one are no axes.
+
+    Images have their channels, such as times, on the last axis, arrays on the first.
+    """
+    while volume.ndim > 3 and volume.shape[-1] == 1 and (last or volume.ndim > 4):
+        volume = volume[..., 0]
+    if volume.ndim == 3:
+        return volume[None]
+    if volume.ndim != 4:
+        raise ValueError(f"{volume.ndim} axes, expected 3 or 4")
+    return np.moveaxis(volume, -1, 0) if last else volume
+
+
 def decode_volumes(
-    files: DataFrame, reader: Callable[[bytes], np.ndarray] = read_nifti, size: Sequence[int] = (32, 32, 32)
+    files: DataFrame,
+    reader: Callable[[bytes], np.ndarray] = read_nifti,
+    size: Sequence[int] = (32, 32, 32),
+    channels_last: bool | None = None,
 ) -> DataFrame:
     """Bricks of ``(path, content)`` rows; failures become rows with ``status = 'error'``.
 
     Bricks at the far edges are smaller when the extent is no multiple of the size.
+    ``channels_last`` is the rule for images unless given.
     """
+    last = reader is read_nifti if channels_last is None else channels_last
     names = [field.split()[0] for field in BRICK_SCHEMA.split(", ")]
 
     def rows_of(path: str, content: bytes) -> list[tuple]:
         try:
-            volume = reader(content)
-            volume = volume[None] if volume.ndim == 3 else volume
+            volume = by_channel(reader(content), last)
             return [
-                (path, channel, *place, *block.shape, block.ravel(), "ok", None)
+                (path, channel, volume.shape[0], *place, *block.shape, block.ravel(), "ok", None)
                 for channel, place, block in _tiles(volume, size)
             ]
         except Exception as e:  # any defect of a file belongs in the error table
-            return [(path, *[None] * 11, "error", f"{type(e).__name__}: {e}")]
+            return [(path, *[None] * 12, "error", f"{type(e).__name__}: {e}")]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -132,18 +152,59 @@ def decode_volumes(
     return files.select("path", "content").mapInPandas(decode, BRICK_SCHEMA)
 
 
+def _named(decoded: DataFrame) -> DataFrame:
+    """Decoded rows with case and modality of their file name and, if there is one, the problem."""
+    code = ids.modality_of(F.col("path"))
+    problem = (
+        F.when(F.col("status") != "ok", "unreadable")
+        .when(code.isNull() | ~code.isin(*MODALITY_NAMES, SEGMENTATION_CODE), "unnamed")
+        .when(F.col("channels") > 1, "several channels")
+    )
+    return decoded.withColumns({"case_id": ids.case_of(F.col("path")), "modality": code, "problem": problem})
+
+
+def _keyed(named: DataFrame) -> DataFrame:
+    return named.drop("path", "channel", "channels", "status", "error", "problem")
+
+
 def scan_bricks(decoded: DataFrame) -> DataFrame:
-    """Readable bricks of files named ``<case>-<modality>.nii.gz``, keyed by case and modality."""
-    names = {"case_id": ids.case_of(F.col("path")), "modality": ids.modality_of(F.col("path"))}
-    return decoded.where("status = 'ok'").withColumns(names).drop("path", "channel", "status", "error")
+    """Bricks of the four modalities in files named ``<case>-<modality>.nii.gz``."""
+    return _keyed(_named(decoded).where(F.col("problem").isNull() & (F.col("modality") != SEGMENTATION_CODE)))
+
+
+def segmentation_voxels(decoded: DataFrame) -> DataFrame:
+    """Labelled voxels ``case_id, x, y, z, label`` of the segmentation files; background is left out."""
+    bricks = _keyed(_named(decoded).where(F.col("problem").isNull() & (F.col("modality") == SEGMENTATION_CODE)))
+    labels = explode_bricks(bricks).select("case_id", "x", "y", "z", F.round("value").cast("int").alias("label"))
+    return labels.where("label <> 0")
+
+
+def stacked_bricks(decoded: DataFrame, modalities: Sequence[str]) -> DataFrame:
+    """Bricks of arrays that hold all ``modalities`` of a case, which the file is named after."""
+    names = F.array(*[F.lit(m) for m in modalities])
+    whole = decoded.where((F.col("status") == "ok") & (F.col("channels") == len(modalities)))
+    return whole.withColumns(
+        {
+            "case_id": F.regexp_extract("path", r"([^/]+?)(?:\.[a-z]+)*$", 1),
+            "modality": F.get(names, F.col("channel")),
+        }
+    ).drop("path", "channel", "channels", "status", "error")
+
+
+def undecodable_files(decoded: DataFrame) -> DataFrame:
+    """Files that ``scan_bricks`` and ``segmentation_voxels`` leave out: path, problem, error."""
+    return _named(decoded).where(F.col("problem").isNotNull()).select("path", "problem", "error").distinct()
 
 
 def encode_files(df: DataFrame, path: Column, values: str, shape: Sequence[int], writer=write_nifti) -> DataFrame:
-    """Scan files as rows ``(path, content)`` from flat float arrays."""
+    """Scan files as rows ``(path, content)`` from flat float arrays, channels first in ``shape``."""
     want = tuple(shape)
 
+    def placed(voxels: np.ndarray) -> np.ndarray:
+        return np.moveaxis(voxels, 0, -1) if writer is write_nifti and voxels.ndim == 4 else voxels
+
     @F.pandas_udf("binary")
     def encode(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: writer(np.asarray(a, np.float32).reshape(want)))
+        return arrays.map(lambda a: writer(placed(np.asarray(a, np.float32).reshape(want))))
 
     return df.select(path.alias("path"), encode(F.col(values)).alias("content"))

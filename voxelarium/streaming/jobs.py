@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxelarium.sinks.tables import append_labels, quarantine
 
+LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -41,13 +42,15 @@ def incremental_ingest(rows: DataFrame, labels_path: str, errors_path: str, chec
     """Append good rows as labels and quarantine failed ones, batch by batch.
 
     ``rows`` carries ``status``.  A batch repeated after a failure appends copies
-    that ``current_labels`` removes by key.
+    that ``current_labels`` and ``current_errors`` remove by key.
     """
     def store(batch: DataFrame, number: int) -> None:
         batch.persist()
-        append_labels(batch.where(F.col("status") == "ok").drop("status"), labels_path, number)
-        quarantine(batch, errors_path)
-        batch.unpersist()
+        try:
+            append_labels(batch.where(F.col("status") == "ok").drop("status"), labels_path, number)
+            quarantine(batch, errors_path, number)
+        finally:
+            batch.unpersist()
 
     run_to_end(rows.writeStream.foreachBatch(store), checkpoint)
 
@@ -94,8 +97,12 @@ def windowed_sessions(
 
 
 def write_closed_windows(windows: DataFrame, sink: str, checkpoint: str) -> None:
-    """Append finished windows to a table; open ones stay in the state."""
-    run_to_end(windows.writeStream.outputMode("append").format("parquet").option("path", sink), checkpoint)
+    """Append finished windows to a table; open ones stay in the state.
+
+    Sessions of a key merge inside each task first, so that a hot key sends few rows on.
+    """
+    with session_setting(windows.sparkSession, LOCAL_MERGE, "true"):
+        run_to_end(windows.writeStream.outputMode("append").format("parquet").option("path", sink), checkpoint)
 
 
 class _PatienceState(StatefulProcessor):
@@ -112,39 +119,46 @@ class _PatienceState(StatefulProcessor):
         epochs = pd.concat(list(rows)).sort_values("epoch")
         out = []
         for epoch, value in zip(epochs["epoch"], epochs["val_loss"]):
-            if epoch <= last:
-                continue
-            best, counter, last = (value, 0, int(epoch)) if value < best else (best, counter + 1, int(epoch))
-            out.append((key[0], last, float(best), counter, int(counter >= self.patience)))
+            late = epoch <= last
+            if not late:
+                best, counter, last = (value, 0, int(epoch)) if value < best else (best, counter + 1, int(epoch))
+            out.append((key[0], int(epoch), float(best), counter, int(counter >= self.patience), int(late)))
         self.state.update((float(best), int(counter), int(last)))
-        yield pd.DataFrame(out, columns=["run", "epoch", "best", "counter", "stop"])
+        yield pd.DataFrame(out, columns=["run", "epoch", "best", "counter", "stop", "late"])
 
     def close(self) -> None:
         pass
 
 
 def early_stop_monitor(epochs: DataFrame, patience: int) -> DataFrame:
-    """Patience counter as live state; ``epochs`` streams ``run, epoch, val_loss``."""
+    """Patience counter as live state; ``epochs`` streams ``run, epoch, val_loss``.
+
+    An epoch that arrives after a later one is reported with ``late = 1`` and the
+    state as it stands, which it does not change.
+    """
     return epochs.groupBy("run").transformWithStateInPandas(
         statefulProcessor=_PatienceState(patience),
-        outputStructType="run string, epoch int, best double, counter int, stop int",
+        outputStructType="run string, epoch int, best double, counter int, stop int, late int",
         outputMode="append",
         timeMode="None",
     )
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
-    """Keep state on disk instead of the heap, as custom stateful operators require."""
-    key = "spark.sql.streaming.stateStore.providerClass"
+def session_setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def rocksdb_state(spark: SparkSession):
+    """Keep state on disk instead of the heap, as custom stateful operators require."""
+    return session_setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def utc_seconds(ts: Column) -> Column:
     """Seconds since the epoch, free of any session time zone."""
     return F.unix_micros(ts) / 1_000_000.0
