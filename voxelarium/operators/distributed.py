@@ -154,20 +154,20 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running totals ``cum_<name>`` in ascending ``order``, then ``ties``.
 
-    ``order`` must be numeric and, with ``ties``, unique within ``keys``: equal
-    values have to be aggregated first.  Approximate quantiles only place the
-    cuts; the totals are exact wherever the cuts fall.
+    ``order`` may have any orderable type and, with ``ties``, has to be unique
+    within ``keys``: equal values have to be aggregated first.  The rows with the
+    smallest digests, an even sample, only place the cuts; they are the same for
+    all keys, so a piece of a key is never larger than one of the whole.  The
+    totals are exact wherever the cuts fall.
     """
     keys, step = list(keys), 32
-    cuts = ", ".join(f"{i / pieces!r}D" for i in range(1, pieces))
-    edges = df.groupBy(*keys).agg(F.expr(f"percentile_approx({order}, array({cuts})) as _q"))
+    identity = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in [*keys, order, *ties]]))
+    sample = df.where(F.col(order).isNotNull()).select(F.col(order).alias("_at"), identity.alias("_id"))
+    cuts = sample.orderBy("_id", "_at").limit(pieces - 1).agg(F.array_sort(F.array_agg("_at")).alias("_q"))
     # Every 32nd edge is tried first, then the 32 behind it.
-    every = f"transform(sequence({step}, {pieces - 1}, {step}), i -> _q[i - 1])"
-    edges = edges.selectExpr(*keys, f"struct(_q as fine, {every} as coarse) as _edges")
-    if keys:
-        cut = join_summary(df, edges, keys)
-    else:
-        cut = df.withColumn("_edges", edges.scalar())
+    every = f"transform(filter(sequence(0, size(_q)), i -> i > 0 and i % {step} = 0), i -> _q[i - 1])"
+    edges = cuts.selectExpr(f"struct(_q as fine, {every} as coarse) as _edges")
+    cut = df.withColumn("_edges", edges.scalar())
     cut = cut.withColumn("_c", F.expr(f"size(filter(_edges.coarse, e -> e < {order})) * {step}"))
     fine = f"size(filter(slice(_edges.fine, _c + 1, {step}), e -> e < {order}))"
     # Never NULL, so that no null check on it is pushed below the caller's aggregate.

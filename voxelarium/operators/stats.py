@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelarium.operators.distributed import exact_percentiles, join_summary
-from voxelarium.operators.voxels import stride_sample
+from voxelarium.operators.voxels import explode_bricks, stride_sample
 from voxelarium.storage import materialise
 
 MOMENTS = ["s", "s2", "n", "npos", "mn", "mx"]
@@ -118,10 +118,11 @@ def first_cases(df: DataFrame, n: int, key: str = "case_id") -> DataFrame:
 
 
 def sampled_percentiles(
-    vox: DataFrame, n_cases: int, stride: int, fractions: Mapping[str, float]
+    bricks: DataFrame, n_cases: int, stride: int, fractions: Mapping[str, float]
 ) -> DataFrame:
-    """Percentiles over strided voxels of the first cases, never truncated."""
-    return percentiles(stride_sample(first_cases(vox, n_cases), stride), ["modality"], fractions)
+    """Percentiles over strided voxels of the first cases, never truncated; cases are chosen among bricks."""
+    chosen = explode_bricks(first_cases(bricks, n_cases))
+    return percentiles(stride_sample(chosen, stride), ["modality"], fractions)
 
 
 def bin_counts(

@@ -9,7 +9,7 @@ partial aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from math import prod
 
@@ -175,6 +175,56 @@ def center_crop(vox: DataFrame, shape: Sequence[int], target: Sequence[int]) ->
     return out
 
 
+def _gathered(counts: Mapping[str, Column], place: Mapping[str, Callable[[Column], Column]]) -> Column:
+    """Values of a brick over the extents ``counts``; ``place`` gives each axis' old offset from the new one."""
+    size = counts["x"] * counts["y"] * counts["z"]
+
+    def cell(i: Column) -> Column:
+        new = {
+            "x": F.floor(i / (counts["y"] * counts["z"])),
+            "y": F.floor(i / counts["z"]) % counts["y"],
+            "z": i % counts["z"],
+        }
+        old = {a: place[a](new[a]) for a in AXES}
+        return F.get("values", ((old["x"] * F.col("ny") + old["y"]) * F.col("nz") + old["z"]).cast("int"))
+
+    return F.transform(F.sequence(F.lit(0), size - 1), cell)
+
+
+def crop_bricks(bricks: DataFrame, shape: Sequence[int], target: Sequence[int]) -> DataFrame:
+    """Central part of every axis longer than its target, as bricks.
+
+    Bricks outside go by their stored corners, before any value is read; those
+    across the border are cut.
+    """
+    low, high, counts, place, corner = {}, {}, {}, {}, {}
+    for a, size, want in zip(AXES, shape, target):
+        first = max(size - want, 0) // 2
+        low[a], high[a] = first, first + min(size, want)
+        start = F.greatest(F.lit(first) - F.col(f"{a}0"), F.lit(0))
+        counts[a] = F.least(F.lit(high[a]) - F.col(f"{a}0"), F.col(f"n{a}")) - start
+        place[a] = lambda i, start=start: i + start
+        corner[a] = F.col(f"{a}0") + start - first
+    near = reduce(
+        lambda p, q: p & q,
+        [(F.col(f"{a}0") < high[a]) & (F.col(f"{a}0") + F.col(f"n{a}") > low[a]) for a in AXES],
+    )
+    # In one step the lambda would read the new corners: names inside it may mean aliases beside it.
+    cut = bricks.where(near).withColumn("values", _gathered(counts, place))
+    return cut.withColumns(
+        {f"{a}0": corner[a].cast("int") for a in AXES} | {f"n{a}": counts[a].cast("int") for a in AXES}
+    )
+
+
+def flip_bricks(bricks: DataFrame, axis: str, size: int) -> DataFrame:
+    """Mirror image along an axis of length ``size``, as bricks; the grid place is kept as a name only."""
+    counts = {a: F.col(f"n{a}") for a in AXES}
+    place = {a: (lambda i: i) for a in AXES}
+    place[axis] = lambda i: F.col(f"n{axis}") - 1 - i
+    corner = F.lit(size) - F.col(f"{axis}0") - F.col(f"n{axis}")
+    return bricks.withColumn("values", _gathered(counts, place)).withColumn(f"{axis}0", corner.cast("int"))
+
+
 def center_pad(vox: DataFrame, shape: Sequence[int], target: Sequence[int]) -> DataFrame:
     """Surround dense volumes with zeros up to the target.
 
@@ -246,9 +296,9 @@ def flip(vox: DataFrame, axis: str, size: int) -> DataFrame:
     return vox.withColumn(axis, F.lit(size - 1) - F.col(axis))
 
 
-def add_noise(vox: DataFrame, sigma: float = 0.02, seed: int = 42) -> DataFrame:
-    """Additive Gaussian noise drawn from the digest of a voxel, equal on every retry."""
-    digest = seeded_hash(seed, "case_id", "modality", *AXES)
+def add_noise(vox: DataFrame, sigma: float = 0.02, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """Additive Gaussian noise from the digest of epoch and voxel, equal on every retry."""
+    digest = seeded_hash(seed, F.lit(epoch), "case_id", "modality", *AXES)
     u = (hash_to_int(F.col("_d")) + 1) / F.lit(4294967297.0)
     w = hash_to_int(F.col("_d"), 9) / F.lit(4294967296.0)
     normal = F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * w)

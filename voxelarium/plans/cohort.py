@@ -206,19 +206,21 @@ def deduplicated_labels(spark, sf_dir):
     SELECT case_id, modality, {r('avg(value)')} AS mean FROM vox WHERE case_id IN (SELECT case_id FROM c) GROUP BY ALL""",
 )
 def first_cases(spark, sf_dir):
-    chosen = stats.first_cases(b.vox(spark, sf_dir), 200)
+    chosen = v.explode_bricks(stats.first_cases(b.bricks(spark, sf_dir), 200))
     return rounded(chosen.groupBy("case_id", "modality").agg(F.avg("value").alias("mean")))
 
 
 @query(
     "features_by_ordinal",
-    f"""WITH {LAB}, placed AS (SELECT *, row_number() OVER (ORDER BY case_id) - 1 AS ordinal FROM lab)
-    SELECT n.n_nationkey::BIGINT * 7 AS ordinal, case_id, {r('ln(1 + et_volume) / 12')} AS et_log,
+    f"""WITH {LAB}, placed AS (SELECT *, concat('case-', case_id) AS name,
+      row_number() OVER (ORDER BY concat('case-', case_id)) - 1 AS ordinal FROM lab)
+    SELECT n.n_nationkey::BIGINT * 7 AS ordinal, name AS case_id, {r('ln(1 + et_volume) / 12')} AS et_log,
       {r('ln(1 + wt_volume) / 12')} AS wt_log FROM nation n JOIN placed p ON p.ordinal = n.n_nationkey * 7""",
 )
 def features_by_ordinal(spark, sf_dir):
     wanted = b.table(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("bigint") * 7).alias("ordinal"))
-    found = cohort.lookup_by_ordinal(b.lab(spark, sf_dir), wanted)
+    named = b.lab(spark, sf_dir).withColumn("case_id", F.concat(F.lit("case-"), F.col("case_id").cast("string")))
+    found = cohort.lookup_by_ordinal(named, wanted)
     return rounded(scoring.scalar_features(found).select("ordinal", "case_id", "et_log", "wt_log"))
 
 

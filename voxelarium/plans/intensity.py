@@ -69,7 +69,21 @@ def cohort_percentiles(spark, sf_dir):
     AND x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0 GROUP BY modality""",
 )
 def sampled_percentiles(spark, sf_dir):
-    return rounded(stats.sampled_percentiles(b.vox(spark, sf_dir), 100, 2, FRACTIONS))
+    return rounded(stats.sampled_percentiles(b.bricks(spark, sf_dir), 100, 2, FRACTIONS))
+
+
+@query(
+    "bracketed_percentiles",
+    f"""WITH {SCAN}, hot AS (SELECT 'all' AS grp, CASE WHEN patient % 3 = 0 THEN 7.5::DOUBLE ELSE value END AS value FROM scan
+      UNION ALL SELECT modality, value FROM scan)
+    SELECT grp, {PERCENTILES_SQL} FROM hot GROUP BY grp""",
+)
+def bracketed_percentiles(spark, sf_dir):
+    """Narrow brackets: an accuracy far below the group sizes, and a group with a third of its values equal."""
+    scan = b.scan(spark, sf_dir)
+    hot = F.when(F.col("patient") % 3 == 0, F.lit(7.5)).otherwise(F.col("value"))
+    both = scan.select(F.lit("all").alias("grp"), hot.alias("value")).union(scan.select("modality", "value"))
+    return rounded(stats.percentiles(both, ["grp"], FRACTIONS, accuracy=200))
 
 
 @query(

@@ -284,13 +284,14 @@ def mean_losses(spark, sf_dir):
 
 @query(
     "batch_mean_losses",
-    f"""WITH {LOSS_SQL}, n AS (SELECT bce, (row_number() OVER (ORDER BY case_id) - 1) // 32 AS batch FROM losses),
+    f"""WITH {LOSS_SQL}, n AS (SELECT bce, (row_number() OVER (ORDER BY concat('case-', case_id)) - 1) // 32 AS batch FROM losses),
     m AS (SELECT batch, avg(bce) AS m FROM n GROUP BY batch)
     SELECT count(*) AS n_batches, {r('avg(m)')} AS bce_by_batch FROM m""",
 )
 def batch_mean_losses(spark, sf_dir):
     losses = scoring.row_losses(b.pred(spark, sf_dir), CLASS_WEIGHTS)
-    return rounded(scoring.mean_of_batch_means(losses, 32))
+    named = losses.withColumn("case_id", F.concat(F.lit("case-"), F.col("case_id").cast("string")))
+    return rounded(scoring.mean_of_batch_means(named, 32))
 
 
 @query(

@@ -146,7 +146,16 @@ def volume_percentile_cut(spark, sf_dir):
     WHERE x BETWEEN 1 AND 2 AND y BETWEEN 1 AND 2 AND z BETWEEN 1 AND 2""",
 )
 def center_crop(spark, sf_dir):
-    return rounded(v.center_crop(b.vox64(spark, sf_dir), CUBE, (2, 2, 2)))
+    return rounded(v.explode_bricks(v.crop_bricks(b.bricks64(spark, sf_dir), CUBE, (2, 2, 2))).drop("modality"))
+
+
+@query(
+    "flipped_bricks",
+    f"WITH {VOX} SELECT case_id, modality, 3 - x AS x, 1 - y AS y, z, {r('value')} AS value FROM vox",
+)
+def flipped_bricks(spark, sf_dir):
+    mirrored = v.flip_bricks(v.flip_bricks(b.bricks(spark, sf_dir), "x", SHAPE[0]), "y", SHAPE[1])
+    return rounded(v.explode_bricks(mirrored))
 
 
 @query(
@@ -188,12 +197,12 @@ def random_flips(spark, sf_dir):
 @query(
     "noisy_voxels",
     f"""WITH {VOX} SELECT case_id, modality, x, y, z, {r(
-        "value + 0.02::DOUBLE * sqrt(-2 * ln((" + hash_sql('7', 'case_id', 'modality', 'x', 'y', 'z')
+        "value + 0.02::DOUBLE * sqrt(-2 * ln((" + hash_sql('7', '3', 'case_id', 'modality', 'x', 'y', 'z')
         + " + 1) / 4294967297.0::DOUBLE)) * cos(2 * pi() * "
-        + hash_sql('7', 'case_id', 'modality', 'x', 'y', 'z', start=9) + " / 4294967296.0::DOUBLE)")} AS value FROM vox""",
+        + hash_sql('7', '3', 'case_id', 'modality', 'x', 'y', 'z', start=9) + " / 4294967296.0::DOUBLE)")} AS value FROM vox""",
 )
 def noisy_voxels(spark, sf_dir):
-    return rounded(v.add_noise(b.vox(spark, sf_dir), 0.02, 7))
+    return rounded(v.add_noise(b.vox(spark, sf_dir), 0.02, 7, epoch=3))
 
 
 @query(
