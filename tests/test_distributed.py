@@ -1,10 +1,13 @@
 """Ranks, running totals and percentiles on skewed data."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voxelarium.operators import cohort, distributed, splits, stats
+from voxelarium.storage import materialise, scratch
 
 FRACTIONS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 0.995, 1.0]
 
@@ -111,3 +114,22 @@ def test_merge_is_associative(spark, skewed):
         for x, y in zip(direct.orderBy("key").collect(), other.orderBy("key").collect()):
             assert (x.n, x.npos, x.mn, x.mx) == (y.n, y.npos, y.mn, y.mx)
             assert x.s == pytest.approx(y.s) and x.s2 == pytest.approx(y.s2)
+
+
+def test_ranks_of_texts(spark):
+    names = [f"BraTS-{i * 7919 % 5003:05d}" for i in range(5003)]
+    frame = spark.createDataFrame([(n, i % 2) for i, n in enumerate(names)], "name string, g int").repartition(5)
+    for keys, groups in (([], [names]), (["g"], [names[0::2], names[1::2]])):
+        found = {r.name: r.rn for r in distributed.ordered_rank(frame, "name", keys).collect()}
+        for group in groups:
+            assert [found[n] for n in sorted(group)] == list(range(1, len(group) + 1))
+
+
+def test_scratch_removes_its_folders(spark):
+    with scratch(spark):
+        inner = materialise(spark.range(3), "kept")
+        with scratch(spark):
+            other = materialise(spark.range(3), "gone")
+            paths = [f.rsplit("/", 1)[0].removeprefix("file://") for f in (inner.inputFiles()[0], other.inputFiles()[0])]
+        assert os.path.isdir(paths[0]) and not os.path.isdir(paths[1])
+    assert not os.path.isdir(paths[0])

@@ -102,3 +102,24 @@ def test_early_stop_state_survives_batches(spark):
     rows = {(r.run, r.epoch): (r.best, r.counter, r.stop) for r in spark.read.parquet(sink).collect()}
     assert [rows["a", i][1] for i in range(1, 9)] == [0, 0, 1, 2, 0, 1, 2, 3]
     assert rows["a", 8] == (3.0, 3, 1) and rows["b", 8] == (-5.0, 7, 1)
+
+
+def test_late_epochs_are_reported_and_change_nothing(spark):
+    source, sink = new_folder(spark, "epochs"), new_folder(spark, "monitor")
+    monitor_of = lambda: jobs.early_stop_monitor(jobs.read_files(spark, source), 2)
+    progress = new_folder(spark, "progress")
+    for rows in ([("a", 2, 1.0), ("a", 3, 2.0)], [("a", 1, 0.1), ("a", 4, 3.0)]):
+        frame = spark.createDataFrame(rows, "run string, epoch int, val_loss double")
+        frame.coalesce(1).write.mode("append").parquet(source)
+        with jobs.rocksdb_state(spark):
+            jobs.write_closed_windows(monitor_of(), sink, progress)
+    found = sorted((r.epoch, r.best, r.counter, r.stop, r.late) for r in spark.read.parquet(sink).collect())
+    assert found == [(1, 1.0, 1, 0, 1), (2, 1.0, 0, 0, 0), (3, 1.0, 1, 0, 0), (4, 1.0, 2, 1, 0)]
+
+
+def test_repeated_batch_does_not_double_errors(spark):
+    rows = spark.range(20).select(F.col("id").alias("case_id"), F.lit("exception").alias("status"))
+    path = new_folder(spark, "errors")
+    for batch in (1, 1, 2):
+        sinks.quarantine(rows, path, batch)
+    assert sinks.current_errors(spark.read.parquet(path)).count() == 20
