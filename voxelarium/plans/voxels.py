@@ -277,23 +277,55 @@ def extracted_patches(spark, sf_dir):
     return rounded(v.extract_patches(bricks, boxes, 2, (2, 2, 2)))
 
 
-@query(
-    "brain_components",
-    f"""WITH RECURSIVE {VOX64}, n AS (SELECT case_id, x * 16 + y * 4 + z AS node, x, y, z FROM vox64 WHERE value > 0),
+COMPONENTS_SQL = f"""RECURSIVE {VOX64}, n AS (SELECT case_id, x * 16 + y * 4 + z AS node, x, y, z FROM vox64 WHERE value > 0),
     e AS (SELECT a.case_id, a.node AS a, b.node AS b FROM n a JOIN n b ON a.case_id = b.case_id
       AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),
     reach(case_id, node, root) AS (SELECT case_id, node, node FROM n
       UNION SELECT e.case_id, e.b, reach.root FROM reach JOIN e ON e.case_id = reach.case_id AND e.a = reach.node),
     comp AS (SELECT case_id, node, min(root) AS root FROM reach GROUP BY case_id, node),
     sizes AS (SELECT case_id, root, count(*) AS size FROM comp GROUP BY ALL),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY size DESC, root) AS rn FROM sizes)
-    SELECT case_id, CAST(root AS BIGINT) AS root, size FROM ranked WHERE rn = 1""",
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY size DESC, root) AS rn FROM sizes),
+    brain AS (SELECT n.case_id, x, y, z FROM n JOIN comp c ON c.case_id = n.case_id AND c.node = n.node
+      JOIN ranked k ON k.case_id = c.case_id AND k.root = c.root WHERE rn = 1)"""
+
+
+@query(
+    "brain_components",
+    f"WITH {COMPONENTS_SQL} SELECT case_id, CAST(root AS BIGINT) AS root, size FROM ranked WHERE rn = 1",
 )
 def brain_components(spark, sf_dir):
     largest, _ = components.brain_component(b.bricks64(spark, sf_dir), 0.0, CUBE)
     return largest
 
 
+@query("brain_masks", f"WITH {COMPONENTS_SQL} SELECT * FROM brain")
+def brain_masks(spark, sf_dir):
+    """Voxels of the largest component of every case."""
+    bricks = b.bricks64(spark, sf_dir)
+    _, mask = components.brain_component(bricks, 0.0, CUBE)
+    return v.explode_masked(v.apply_mask(bricks, mask)).select("case_id", "x", "y", "z")
+
+
+@query(
+    "preprocessed_volumes",
+    f"""WITH {COMPONENTS_SQL}, inside AS (SELECT v.* FROM vox64 v JOIN brain USING (case_id, x, y, z)),
+    p AS (SELECT case_id, quantile_cont(value, 0.995::DOUBLE) AS p FROM inside GROUP BY case_id),
+    st AS (SELECT case_id, any_value(p) AS p, avg(least(value, p)) AS mean, stddev_pop(least(value, p)) + 1e-8::DOUBLE AS sd
+      FROM inside JOIN p USING (case_id) GROUP BY case_id),
+    z AS (SELECT case_id, x, y, v.z AS z, (least(value, p) - mean) / sd AS value FROM vox64 v JOIN st USING (case_id)),
+    s AS (SELECT case_id, max(abs(value)) + 1e-8::DOUBLE AS s FROM z GROUP BY case_id)
+    SELECT case_id, x, y, z, {r('value / s', 4)} AS value FROM z JOIN s USING (case_id)
+    WHERE case_id IN (SELECT case_id FROM st WHERE sd > 1e-4::DOUBLE)""",
+)
+def preprocessed_volumes(spark, sf_dir):
+    """Mask, largest component and normalisation as one job; cases with a flat brain have no scale."""
+    bricks = b.bricks64(spark, sf_dir)
+    _, mask = components.brain_component(bricks, 0.0, CUBE)
+    normal = v.explode_bricks(v.ctn_normalize(bricks, mask)).drop("modality")
+    flat = v.explode_masked(v.apply_mask(bricks, mask)).groupBy("case_id").agg(F.stddev_pop("value").alias("sd"))
+    return rounded(normal.join(flat.where("sd > 1e-4"), "case_id", "left_semi"), 4)
+
+
 @query(
     "delta_images",
     f"""WITH {VOX} SELECT a.case_id // 2 AS patient, a.modality, a.x, a.y, a.z, {r('a.value - b.value')} AS delta
