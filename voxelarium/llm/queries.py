@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from voxelarium.llm import decontamination, exact_dedup, language_id, line_dedup, main_text, packing, secrets, simhash, tokens
+from voxelarium.llm import decontamination, exact_dedup, language_id, line_dedup, main_text, packing, secrets, simhash, tokens, url_filter
 from voxelarium.llm.common import read
 
 
@@ -35,6 +35,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_predictions(read(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.page_decisions(read(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
 
@@ -54,9 +58,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
+    "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op5_decontamination": decontamination.SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op5_decontamination": decontamination.SQL, "op7_url_filter": url_filter.SQL}
