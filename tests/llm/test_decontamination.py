@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import EDGE, key
+from text_cases import EDGE, key
 from pyspark.sql import functions as F
 
 from voxelarium.llm.decontamination import WORD, ItemAutomaton, benchmark_hits, decontaminate, words_of

@@ -2,7 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
-from conftest import EDGE, key  # noqa: I001
+from text_cases import EDGE, key
 from pyspark.sql import functions as F
 
 from voxelarium.llm.exact_dedup import exact_dedup, exact_groups

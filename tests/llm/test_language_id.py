@@ -1,4 +1,4 @@
-from conftest import EDGE
+from text_cases import EDGE
 from pyspark.sql import functions as F
 
 from voxelarium.llm.language_id import LanguageFilter, gram_hashes, identify, language_predictions, letter_codes

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import EDGE
+from text_cases import EDGE
 from test_decontamination import brute
 from test_exact_and_lines import brute_lines
 from test_simhash import brute_components

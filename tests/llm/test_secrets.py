@@ -3,7 +3,7 @@ import random
 import re
 
 import pytest
-from conftest import EDGE, key
+from text_cases import EDGE, key
 
 from voxelarium.llm.guess_cost import STRETCH_BITS, _char_bits, _stretches, guess_bits, word_ranks
 from voxelarium.llm.secrets import find_secrets, scan_secrets, secret_spans

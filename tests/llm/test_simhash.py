@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import EDGE, key
+from text_cases import EDGE, key
 from pyspark.sql import functions as F
 
 from voxelarium.llm.fingerprint import simhash

@@ -5,7 +5,7 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
-from conftest import EDGE, key
+from text_cases import EDGE, key
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
