@@ -86,30 +86,47 @@ def face_contacts(labelled: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _settled(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Smallest reachable label of each node, for all cases in ``pairs`` at once."""
+    case, cases = pd.factorize(pairs["case_id"])
+    a, b = pairs["a"].to_numpy(np.int64), pairs["b"].to_numpy(np.int64)
+    stride = max(a.max(), b.max()) + 1
+    keys, place = np.unique(np.concatenate([case * stride + a, case * stride + b]), return_inverse=True)
+    a, b = place[: len(case)], place[len(case) :]
+    comp = np.arange(len(keys))
+    while True:
+        before = comp.copy()
+        np.minimum.at(comp, a, comp[b])
+        np.minimum.at(comp, b, comp[a])
+        comp = comp[comp]
+        if (comp == before).all():
+            break
+    return pd.DataFrame({"case_id": cases[keys // stride], "node": keys % stride, "comp": keys[comp] % stride})
+
+
 def merge_components(contacts: DataFrame) -> DataFrame:
     """Smallest reachable label of every component in contact with another.
 
-    The contacts of a case are bounded by the faces of its bricks, so each case
-    is settled at once in one task; cases are many and spread evenly.
+    The contacts of a case, bounded by the faces of its bricks, meet in one task
+    and are settled there; a task takes as many cases at once as a batch holds.
     """
 
-    def settle(pairs: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def root(node: int) -> int:
-            while parent.setdefault(node, node) != node:
-                parent[node] = parent[parent[node]]
-                node = parent[node]
-            return node
-
-        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
-            x, y = root(a), root(b)
-            parent[max(x, y)] = min(x, y)
-        nodes = list(parent)
-        return pd.DataFrame({"case_id": pairs["case_id"].iloc[0], "node": nodes, "comp": list(map(root, nodes))})
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the last case so far, which may go on
+        for batch in batches:
+            pairs = pd.concat([*held, batch]) if held else batch
+            if pairs.empty:
+                continue
+            goes_on = pairs["case_id"] == pairs["case_id"].iloc[-1]
+            held = [pairs[goes_on]]
+            if not goes_on.all():
+                yield _settled(pairs[~goes_on])
+        if held:
+            yield _settled(held[0])
 
     case = contacts.schema["case_id"].dataType.simpleString()
-    return contacts.groupBy("case_id").applyInPandas(settle, f"case_id {case}, node long, comp long")
+    together = contacts.repartition("case_id").sortWithinPartitions("case_id")
+    return together.mapInPandas(settle, f"case_id {case}, node long, comp long")
 
 
 def component_sizes(labelled: DataFrame, merged: DataFrame) -> DataFrame:
