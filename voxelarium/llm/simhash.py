@@ -73,6 +73,8 @@ def linked_pairs(marks: DataFrame, radius: int = RADIUS, levels: int = LEVELS) -
     if radius > 3 or 32 % levels or levels < 8:
         raise ValueError("a half may differ in one bit, so radius is 3 at most; levels are 8, 16 or 32")
     mark = F.col("mark")
+    # A mark takes 8 bytes and becomes dozens of rows: spread them before, as file sizes would not.
+    marks = marks.repartition(int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mark")
     trees = [_leaves(mark, half, levels) for half in (0, 1)]
     stored = marks.select(F.explode(F.array(*(t[0] for t in trees))).alias("leaf"), mark.alias("other"))
     queries = marks.select(F.explode(F.concat(*(t[1] for t in trees))).alias("leaf"), "mark")
