@@ -78,3 +78,16 @@ def test_importance(site):
 
 def test_empty_table(site):
     assert page_texts(site.filter(F.lit(False))).count() == 0
+
+
+def test_copies_do_not_change_any_text(spark):
+    def page(i):
+        return f"<article><h1>Title {i}</h1><p>Story {i} of matter {i * i}.</p><ul><li>Point {i}</li></ul></article>"
+
+    copy = "<article><h1>Title</h1><p>The copied story.</p></article>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(10)] + [(100, "http://a.example/", copy)]
+    more = rows + [(100 + k, "http://a.example/", copy) for k in range(1, 90)]
+    schema = "page_id long, url string, html string"
+    once, many = ({r["page_id"]: r["text"] for r in page_texts(spark.createDataFrame(x, schema)).collect()} for x in (rows, more))
+    assert once == {i: t for i, t in many.items() if i in once}
+    assert many[3] == "Title 3\nStory 3 of matter 9.\nPoint 3" and many[150] == "Title\nThe copied story."

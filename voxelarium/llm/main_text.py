@@ -13,14 +13,15 @@ What is the same on no two pages but is no article either goes by structure: nav
 footers, sidebars, adverts, forms, notices and comments by element, role, class or id,
 hidden elements, and blocks that consist of links.  If a page has an ``article`` or
 ``main`` element, only what is inside counts.  If everything would go, the removal by
-importance is taken back for that page.
+importance is taken back for that page.  Copies of a page count once a host, so that a page
+captured many times does not make its own text look like furniture.
 
 Counts are grouped by host, node and text, so that a large host spreads over many groups.
 Pages are joined with the short list of their host's low nodes; they are not grouped.
 
 Defined results: null html is empty; a page without text gives the empty string; a null
 or odd url belongs to no host and its page is judged by structure alone; repeated rows
-each get their row and count as pages of their own; result columns replace input columns
+each get their row and count as one page; result columns replace input columns
 of the same name, others pass through.
 """
 
@@ -33,7 +34,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelarium.llm.common import free_name, text_or_empty, with_result
+from voxelarium.llm.common import free_name, sha256, text_or_empty, with_result
 from voxelarium.llm.html_tree import Block, Node, parse
 from voxelarium.storage import materialise
 
@@ -141,8 +142,11 @@ def node_importance(pages: DataFrame, url_column: str = "url", html_column: str
         return pd.Series([observations(s) for s in sources], dtype=object)
 
     rows = (
+        # One page of each content; partial aggregation combines copies before the shuffle.
         pages.select(host_of(F.col(url_column)).alias("host"), text_or_empty(html_column).alias("source"))
         .filter("host <> ''")
+        .groupBy("host", sha256(F.col("source")).alias("digest"))
+        .agg(F.min("source").alias("source"))
         .select("host", F.explode(seen("source")).alias("o"))
         .select("host", "o.*")
     )
