@@ -91,3 +91,20 @@ def test_copies_do_not_change_any_text(spark):
     once, many = ({r["page_id"]: r["text"] for r in page_texts(spark.createDataFrame(x, schema)).collect()} for x in (rows, more))
     assert once == {i: t for i, t in many.items() if i in once}
     assert many[3] == "Title 3\nStory 3 of matter 9.\nPoint 3" and many[150] == "Title\nThe copied story."
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<article><h1><a href=x>Linked headline</a></h1><p>a</p></article>", "Linked headline\na"),
+        ("<main><p>a</p><p><a href=x>A linked paragraph.</a></p></main>", "a\nA linked paragraph."),
+        ("<article><p>a</p><ol><li><a href=x>Reference</a></ol></article>", "a\nReference"),
+        ("<article><h2 id=social-impact>Social impact</h2><p>a</p></article>", "Social impact\na"),
+        ("<article><section id=related-work><p>b</p></section><p id=notice-of-appeal>c</p></article>", "b\nc"),
+        ("<article><p>a</p><div class=comment-analysis><p>d</p></div></article>", "a\nd"),
+        ("<article><p>a</p><div class='box related'><p>no</p></div></article>", "a"),
+        ("<p><a href=x>menu</a></p><div id=social-bar>no</div><p>a</p>", "a"),
+    ],
+)
+def test_article_text_with_links_and_slugs_stays(source, text):
+    assert extract(source, ()) == text

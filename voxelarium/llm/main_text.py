@@ -12,7 +12,9 @@ a node is seen on few pages.
 What is the same on no two pages but is no article either goes by structure: navigation,
 footers, sidebars, adverts, forms, notices and comments by element, role, class or id,
 hidden elements, and blocks that consist of links.  If a page has an ``article`` or
-``main`` element, only what is inside counts.  If everything would go, the removal by
+``main`` element, only what is inside counts.  There a word marks furniture only as a whole
+class or on a node of low importance, since ids and hyphenated names are often slugs of
+headings; and links make a menu only in lists of low importance.  If everything would go, the removal by
 importance is taken back for that page.  Copies of a page count once a host, so that a page
 captured many times does not make its own text look like furniture.
 
@@ -28,7 +30,7 @@ of the same name, others pass through.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Set
 
 import pandas as pd
 import xxhash
@@ -58,10 +60,11 @@ SKIP_WORDS = frozenset(
 #: These mark page furniture only outside an article.
 OUTER_TAGS = frozenset(["header"])
 OUTER_WORDS = frozenset("footer header masthead copyright".split())
+LISTS = frozenset("ul ol dl".split())
 
 
-def _skipped(node: Node, inside: bool) -> bool:
-    """Whether an element is no part of an article, by its own marks."""
+def _skipped(node: Node, inside: bool, low: bool) -> bool:
+    """Whether an element is no part of an article, by its own marks; ``low`` if its host's style tree agrees."""
     if node.tag in SKIP_TAGS or not inside and node.tag in OUTER_TAGS:
         return True
     own = node.attributes
@@ -71,29 +74,37 @@ def _skipped(node: Node, inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", "")):
         return True
+    if inside and not low:
+        return not SKIP_WORDS.isdisjoint(own.get("class", "").lower().split())
     words = set(re.split(r"[^a-z0-9]+", f"{own.get('class', '')} {own.get('id', '')}".lower()))
     return not words.isdisjoint(SKIP_WORDS) or not inside and not words.isdisjoint(OUTER_WORDS)
 
 
-def _judged(blocks: list[Block]) -> tuple[list[Block], bool]:
+def _judged(blocks: list[Block], unimportant: Set[int] = frozenset()) -> tuple[list[Block], bool]:
     """Blocks that structure leaves, and whether the page has an article."""
-    seen: dict[int, tuple[bool, bool]] = {0: (False, False)}
+    seen: dict[int, tuple[bool, bool, bool]] = {0: (False, False, False)}
 
-    def marks(node: Node | None) -> tuple[bool, bool]:
-        """Whether it is inside an article, and whether it or an element around it is skipped."""
-        chain = []
+    def marks(node: Node | None) -> tuple[bool, bool, bool]:
+        """Whether it is inside an article, whether it or an element around it is skipped, and whether it is a low list."""
+        chain, node_of = [], node
         while node is not None and id(node) not in seen:
             chain.append(node)
             node = node.parent
-        inside, skipped = seen[id(node) if node is not None else 0]
+        inside, skipped, listed = seen[id(node) if node is not None else 0]
         for n in reversed(chain):
             inside = inside or n.tag in ("article", "main") or n.attributes.get("role", "").lower() == "main"
-            skipped = skipped or _skipped(n, inside)
-            seen[id(n)] = inside, skipped
-        return inside, skipped
+            low = _signed(n.path) in unimportant
+            skipped = skipped or _skipped(n, inside, low)
+            listed = listed or n.tag in LISTS
+            seen[id(n)] = inside, skipped, listed
+        return inside, skipped, listed and _signed(node_of.path) in unimportant
 
     judged = [(b, *marks(b.node)) for b in blocks]
-    kept = [(b, inside) for b, inside, skipped in judged if not skipped and b.link_chars < LINK_SHARE * b.chars]
+    kept = [
+        (b, inside)
+        for b, inside, skipped, low_list in judged
+        if not skipped and (b.link_chars < LINK_SHARE * b.chars or inside and not low_list)
+    ]
     article = any(inside for _, inside in kept)
     return [b for b, inside in kept if inside or not article], article
 
@@ -104,8 +115,8 @@ def _signed(digest: int) -> int:
 
 def extract(source: str, low: Iterable[int]) -> str:
     """Main text of a page, given the paths of its host's unimportant nodes."""
-    blocks, _ = _judged(parse(source))
     unimportant = set(low)
+    blocks, _ = _judged(parse(source), unimportant)
 
     def stays(node: Node | None) -> bool:
         while node is not None:
