@@ -51,14 +51,12 @@ class TokenIds(PreTokens):
         return pack_ids(f"<{len(ids)}I", *ids)
 
     def stretch(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.find(text)))
+        return b"".join(map(self.of_piece.__getitem__, self.find(text)))
 
     def ids(self, text: str) -> bytes:
         """The tokenizer drops white space, so every word stands alone."""
         if self.safe(text) and not self.has_special(text):
-            words = text.lower().split()
-            self.learn(words)
-            return b"".join(map(self.of_stretch.__getitem__, words))
+            return b"".join(map(self.of_stretch.__getitem__, text.lower().split()))
         return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from voxelarium.llm import decontamination, exact_dedup, language_id, line_dedup, main_text, packing, secrets, simhash, tokens, url_filter
+from voxelarium.llm import (
+    decontamination,
+    exact_dedup,
+    fill_in_middle,
+    language_id,
+    line_dedup,
+    main_text,
+    packing,
+    secrets,
+    simhash,
+    token_alignment,
+    tokens,
+    url_filter,
+)
 from voxelarium.llm.common import read
 
 
@@ -51,6 +64,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.page_texts(read(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.middle_forms(read(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_exact_dedup": op2_exact_dedup,
@@ -62,6 +83,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_main_text": op10_main_text,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_token_alignment": op12_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op5_decontamination": decontamination.SQL, "op7_url_filter": url_filter.SQL}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op5_decontamination": decontamination.SQL,
+    "op7_url_filter": url_filter.SQL,
+    "op8_line_dedup": line_dedup.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
+}

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 import regex
@@ -30,8 +31,9 @@ from voxelarium.llm.common import text_or_empty, with_result
 
 #: Tokens over which a text is marked.
 LIMIT = 512
-#: Stretches, and pre-tokens, that a worker remembers besides the proven ones.
+#: Stretches, and pre-tokens, that a worker remembers besides the proven ones, and the longest of them.
 MEMO = 300_000
+REMEMBERED = 48
 
 #: The patterns of the two tokenizer files; fixed values.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -91,6 +93,23 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(proven)
 
 
+class Memo(dict):
+    """What ``work`` makes of strings; remembers short ones, a bounded number, so bounded bytes."""
+
+    def __init__(self, work: Callable[[str], object], base: dict[str, object] = {}, size: int = MEMO):
+        super().__init__(base)
+        self.work, self.base, self.size = work, base, size + len(base)
+
+    def __missing__(self, text: str):
+        value = self.work(text)
+        if len(text) <= REMEMBERED:
+            if len(self) >= self.size:
+                self.clear()
+                self.update(self.base)
+            self[text] = value
+        return value
+
+
 class PreTokens:
     """A tokenizer file opened in a worker: special strings, pre-tokens, merges.
 
@@ -105,7 +124,7 @@ class PreTokens:
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.cut = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
-        self.base, self.of_piece, self.of_stretch = base, dict(base), {}
+        self.of_piece, self.of_stretch = Memo(self.piece, base), Memo(self.stretch)
 
     def value(self, ids: list[int]):
         raise NotImplementedError
@@ -121,21 +140,9 @@ class PreTokens:
         return _UNSAFE.search(text) is None
 
     def piece(self, piece: str):
-        """Value of one pre-token: proven, remembered, or merged now."""
-        known = self.of_piece.get(piece)
-        if known is None:
-            if len(self.of_piece) >= MEMO + len(self.base):
-                self.of_piece = dict(self.base)
-            shown = "".join(map(self.alphabet.__getitem__, piece.encode()))
-            known = self.of_piece[piece] = self.value([t.id for t in self.model.tokenize(shown)])
-        return known
-
-    def learn(self, stretches: list[str]) -> None:
-        new = set(stretches).difference(self.of_stretch)
-        if len(self.of_stretch) + len(new) > MEMO:
-            self.of_stretch, new = {}, set(stretches)
-        for text in new:
-            self.of_stretch[text] = self.stretch(text)
+        """Value of one pre-token, merged now."""
+        shown = "".join(map(self.alphabet.__getitem__, piece.encode()))
+        return self.value([t.id for t in self.model.tokenize(shown)])
 
 
 class TokenCounter(PreTokens):
@@ -153,7 +160,7 @@ class TokenCounter(PreTokens):
         """Tokens of a blank and ``text``."""
         if not text or text[0].isspace() or text[-1].isspace():
             return self.OPEN_EDGE
-        return sum(map(self.piece, self.find(" " + text)))
+        return sum(map(self.of_piece.__getitem__, self.find(" " + text)))
 
     def count(self, text: str) -> int:
         parts = self.cut.split(text) if self.has_special(text) else [text]
@@ -162,14 +169,13 @@ class TokenCounter(PreTokens):
     def _plain(self, text: str) -> int:
         if not self.safe(text):
             shown = (p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
-            return sum(self.piece(bytes(map(self.byte.__getitem__, p)).decode()) for p in shown)
+            return sum(self.of_piece[bytes(map(self.byte.__getitem__, p)).decode()] for p in shown)
         first, *stretches = text.split(" ")
         if stretches and not first[-1:].isspace():
-            self.learn(stretches)
             count = sum(map(self.of_stretch.__getitem__, stretches))
             if count >= 0:
-                return count + sum(map(self.piece, self.find(first)))
-        return sum(map(self.piece, self.find(text)))
+                return count + sum(map(self.of_piece.__getitem__, self.find(first)))
+        return sum(map(self.of_piece.__getitem__, self.find(text)))
 
 
 #: Counters of this worker process by file; a worker serves many tasks.
