@@ -20,6 +20,7 @@ from voxelarium.llm import (
     token_alignment,
     tokens,
     url_filter,
+    vector_links,
 )
 from voxelarium.llm.common import read
 
@@ -72,6 +73,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment(read(spark, sf_dir, "documents"))
 
 
+def op13_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_exact_dedup": op2_exact_dedup,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_token_alignment": op12_token_alignment,
+    "op13_vector_links": op13_vector_links,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
