@@ -6,10 +6,10 @@ walks the arrays at a shift between their indices.  While tokens agree one to on
 stays and slices of doubling length are compared at once, then of halving length where they
 differ; an irregular group is resolved token by token, which moves the shift.
 
-Tokens themselves are remembered by stretch: white space and what follows it up to the next.
-The first tokenizer's pattern never joins a visible character with white space behind it;
-of the second one's pieces none holds white space but blanks at its start, which is proven
-from the vocabulary when a worker opens it.
+Tokens themselves are remembered by stretch: white space and what follows it up to the next,
+with signs behind a word on their own.  The first tokenizer's pattern never joins across
+these edges.  Which of the second one's pieces do is read from its vocabulary when a worker
+opens it; texts that hold such a piece's text are cut less, or encoded whole.
 
 Documents keep their different id pairs with the number of links, so that nothing is
 tokenized twice.  The pairs are counted by documents, then looked up: those of most documents
@@ -29,6 +29,8 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,12 @@ HOT = 1 << 18
 BLOCK = 1 << 20
 
 BLANK = "▁"
+#: Signs at which a stretch is cut behind a word.
+SIGNS = ".,;:!?"
 _STRETCHES = re.compile(r"\s+\S+|\s+\Z").findall
-#: White space to ``re`` but not to the tokenizers: texts with it are encoded whole.
-_DUBIOUS = re.compile("[\x1c-\x1f\u180e]")
+_CUT = re.compile(rf"\s+(?:[^\W\d_]++(?:(?=[{SIGNS}])|\S*)|\S+|\Z)|[{SIGNS}]\S*").findall
+#: White space to ``re`` but not to the tokenizers, or the other way round: texts with it are encoded whole.
+DUBIOUS = "\x1c-\x1f\u180e"
 
 ALIGNED = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -56,27 +61,36 @@ ALIGNED = (
 )
 
 
-def shared_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def shared_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """For each group the number of tokens up to its end in ``a`` and in ``b``.
 
     Both rise strictly and end alike.
     """
-    in_a, in_b = [], []
-    i, shift, total = 0, 0, len(a)
+    # Groups as runs of consecutive ends: the number of tokens before each, and its length.
+    runs, lengths = [], []
+    shifts = []
+    i, j, total = 0, 0, len(a)
     while i < total:
-        step = 1
-        while step:
-            part = a[i : i + step]
-            if part and part == b[i + shift : i + shift + step]:
-                i += len(part)
-                in_a.extend(range(i - len(part) + 1, i + 1))
-                in_b.extend(range(i + shift - len(part) + 1, i + shift + 1))
+        if a[i] == b[j]:
+            first, step = i, 1
+            i, j = i + 1, j + 1
+            while True:
                 step *= 2
-            else:
+                part = a[i : i + step]
+                if not part or part != b[j : j + step]:
+                    break
+                i, j = i + len(part), j + len(part)
+            step //= 2
+            while step:
+                part = a[i : i + step]
+                if part and part == b[j : j + step]:
+                    i, j = i + len(part), j + len(part)
                 step //= 2
-        if i == total:
-            break
-        j = i + shift
+            runs.append(first)
+            lengths.append(i - first)
+            shifts.append(j - i)
+            if i == total:
+                break
         end, other = a[i], b[j]
         while end != other:
             if end < other:
@@ -85,11 +99,16 @@ def shared_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
             else:
                 j += 1
                 other = b[j]
+        runs.append(i)
+        lengths.append(1)
+        shifts.append(j - i)
         i, j = i + 1, j + 1
-        in_a.append(i)
-        in_b.append(j)
-        shift = j - i
-    return in_a, in_b
+    if not runs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    lengths = np.array(lengths)
+    before = np.cumsum(lengths) - lengths
+    in_a = np.arange(1, before[-1] + lengths[-1] + 1) + np.repeat(np.array(runs) - before, lengths)
+    return in_a, in_a + np.repeat(np.array(shifts), lengths)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +166,7 @@ class BytePairs(PreTokens):
 
     def ids(self, text: str) -> list[int]:
         if self.safe(text):
-            return [i for p in self.find(text) for i in self.of_piece[p]]
+            return [i for p in self.find(text) for i in self.piece(p)]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -161,12 +180,23 @@ class Pieces:
             bytes([int(s[1:-1], 16)]) if self.model.is_byte(i) else s.replace(BLANK, " ").encode() for i, s in enumerate(shown)
         ]
         self.blank = self.model.piece_to_id(BLANK)
-        self.apart = shown[self.blank] == BLANK and not any(
-            re.search(r"\s", s) or BLANK in s.lstrip(BLANK) for i, s in enumerate(shown) if not self.model.is_byte(i)
-        )
+        # White space that some piece holds behind a visible character or a blank.
+        joined = {c for s in shown for c in re.findall(rf"(?:[^\s{BLANK}](?=([\s{BLANK}]))|{BLANK}(?=(\s)))", s) for c in c if c}
+        #: Texts with these are encoded whole; if a blank is one of them, all texts.
+        self.joined = "".join(sorted(joined)).replace(BLANK, " ")
+        #: Pieces that join a word with a sign, and a letter that none joins with one.
+        self.crossing = [s.replace(BLANK, " ") for s in shown if re.search(rf"[^\W\d_][{SIGNS}]", s)]
+        free = [c for c in ascii_lowercase if BLANK + c in shown and not any(c in s for s in self.crossing)]
+        self.letter = free[0] if free else None
+
+    def cuts(self, text: str) -> bool:
+        """Whether words and the signs behind them stand apart in ``text``."""
+        return self.letter is not None and not any(s in text for s in self.crossing)
 
     def ids(self, text: str) -> list[int]:
-        """Ids of a text that starts with white space."""
+        """Ids of a text that starts with white space or a sign."""
+        if text[0] in SIGNS:
+            return self.model.encode(self.letter + text)[1:]
         if text == " ":
             return [self.blank]
         if text[0] == " ":
@@ -183,6 +213,7 @@ class Aligner:
         self.length_b = np.array(list(map(len, self.b.bytes)))
         self.bits = (len(self.b.bytes) - 1).bit_length()
         self.of_stretch = Memo(self._stretch)
+        self.whole = re.compile(f"[{DUBIOUS}{re.escape(self.b.joined)}]").search
         # Each id with the sign that follows it: inside a side, at its end.
         self.shown = [f"{i}{end}" for i in range(len(self.a.bytes)) for end in ",|"]
         self.shown += [f"{i}{end}" for i in range(len(self.b.bytes)) for end in ",;"]
@@ -197,10 +228,10 @@ class Aligner:
         if not text:
             return np.empty(0, np.uint32), np.empty(0, np.uint32)
         text = " " + text
-        if self.b.apart and not _DUBIOUS.search(text):
-            sides = list(zip(*map(self.of_stretch.__getitem__, _STRETCHES(text))))
-            a, b = (np.frombuffer(b"".join(s), np.uint32) for s in sides[:2])
-            same = all(sides[2])
+        if not self.whole(text):
+            parts = list(map(self.of_stretch.__getitem__, (_CUT if self.b.cuts(text) else _STRETCHES)(text)))
+            a, b = (np.frombuffer(b"".join(map(itemgetter(i), parts)), np.uint32) for i in (0, 1))
+            same = all(map(itemgetter(2), parts))
         else:
             a, b = (np.array(side.ids(text), np.uint32) for side in (self.a, self.b))
             same = False
@@ -214,7 +245,7 @@ class Aligner:
         """Ids of both sides and the groups' ends in each."""
         a, b = self.ids(text)
         ends = shared_ends(self.length_a[a].cumsum().tolist(), self.length_b[b].cumsum().tolist())
-        return a, b, *(np.array(e, np.int64) for e in ends)
+        return a, b, *ends
 
     def listed(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> str:
         """The groups as text: ``a1,a2|b1;a3|b2,b3``."""

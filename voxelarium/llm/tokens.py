@@ -94,18 +94,26 @@ def whole_tokens(path: str) -> frozenset[str]:
 
 
 class Memo(dict):
-    """What ``work`` makes of strings; remembers short ones, a bounded number, so bounded bytes."""
+    """What ``work`` makes of strings; remembers short ones, a bounded number, so bounded bytes.
 
-    def __init__(self, work: Callable[[str], object], base: dict[str, object] = {}, size: int = MEMO):
-        super().__init__(base)
-        self.work, self.base, self.size = work, base, size + len(base)
+    Half of them are the newest; those before are kept until as many newer ones are known,
+    so strings that come often stay.  ``base`` stays as it is.
+    """
+
+    def __init__(self, work: Callable[[str], object], base: dict[str, object] | None = None, size: int = MEMO):
+        super().__init__()
+        self.work, self.base, self.half, self.older = work, base or {}, size // 2, {}
 
     def __missing__(self, text: str):
-        value = self.work(text)
+        value = self.base.get(text)
+        if value is None:
+            value = self.older.get(text)
+        if value is None:
+            value = self.work(text)
         if len(text) <= REMEMBERED:
-            if len(self) >= self.size:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
-                self.update(self.base)
             self[text] = value
         return value
 
