@@ -2,12 +2,11 @@ import numpy as np
 from text_cases import EDGE
 from test_decontamination import brute
 from test_exact_and_lines import brute_lines
-from test_simhash import brute_components
+from test_near_copies import survivors
 from test_tokens_and_packing import check_packed
 
 import corpus_pipeline
 from voxelarium.llm.decontamination import words_of
-from voxelarium.llm.fingerprint import simhash
 from voxelarium.llm.language_id import identify
 
 SF = "/root/testdata/sf0.001"
@@ -18,16 +17,15 @@ def brute_pipeline(spark, docs):
     judged = identify(docs).select("doc_id", "text", "lang_pred", "score").collect()
     rows = [(r["doc_id"], r["text"]) for r in judged if r["lang_pred"] != "und" and r["score"] >= 0.1]
     rows = [(i, kept) for i, _, _, kept in brute_lines(rows, 10)]
-    marks = [simhash(t.encode()) for _, t in rows]
-    roots = brute_components(marks)
-    winners = {}
-    for (i, t), m in zip(rows, marks):
-        old = winners.get(roots[m])
-        if old is None or (i is None, i or 0) < (old[0] is None, old[0] or 0):
-            winners[roots[m]] = (i, t)
+    kept = set(survivors(rows))
+    seen, winners = set(), []
+    for i, t in rows:
+        if i in kept and i not in seen:
+            seen.add(i)
+            winners.append((i, t))
     items = [(str(r["item_id"]), words_of(r["text"].encode())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     out = []
-    for i, t in winners.values():
+    for i, t in winners:
         words = words_of(t.encode())
         n = len(brute(words, items, 13)[0]) if {w for _, x in items for w in x} & set(words) else 0
         if not (n and 20 * n >= len(words)):

@@ -4,7 +4,7 @@ from text_cases import EDGE, key
 from pyspark.sql import functions as F
 
 from voxelarium.llm.fingerprint import simhash
-from voxelarium.llm.simhash import components, keep_one, linked_pairs, near_duplicates, simhash_groups
+from voxelarium.llm.simhash import components, linked_pairs, near_duplicates, simhash_groups
 
 
 def brute_components(marks):
@@ -72,12 +72,3 @@ def test_groups_edges(make, edge):
     want = [(i, f"{marks[t]:016x}", least[roots[marks[t]]]) for i, t in EDGE]
     assert key(map(tuple, got)) == key(want)
     assert near_duplicates(make([])).count() == 0
-
-
-def test_keep_one(make, edge):
-    kept = keep_one(edge)
-    assert sorted(kept.columns) == sorted(edge.columns)
-    ids = [r["doc_id"] for r in kept.collect()]
-    # The texts without words share a fingerprint; rows 4, 5 and 6 have equal words.
-    assert sorted(x for x in ids if x is not None) == [1, 4, 7, 8, 9, 10, 11] and ids.count(None) == 1
-    assert keep_one(make([])).count() == 0
