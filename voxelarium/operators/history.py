@@ -15,15 +15,15 @@ def early_stop(hist: DataFrame, patience: int, run: str = "run", metric: str = "
     """Best epoch so far, epochs since it and whether training would stop, per epoch."""
     by_epoch = Window.partitionBy(run).orderBy("epoch")
     earlier = by_epoch.rowsBetween(Window.unboundedPreceding, -1)
-    previous = F.min(metric).over(earlier)
-    # The counter starts at the first epoch and restarts at every strict improvement.
-    marked = hist.withColumn("improved", previous.isNull() | (F.col(metric) < previous)).withColumn(
-        "row", F.row_number().over(by_epoch)
-    )
+    # The best starts at infinity, which a loss that is missing or not a number does not beat.
+    loss = F.coalesce(F.nanvl(F.col(metric), F.lit(float("inf"))), F.lit(float("inf")))
+    previous = F.coalesce(F.min(loss).over(earlier), F.lit(float("inf")))
+    # The counter grows from zero and restarts at every strict improvement.
+    marked = hist.withColumn("improved", loss < previous).withColumn("row", F.row_number().over(by_epoch))
     last_row = F.last(F.when(F.col("improved"), F.col("row")), ignorenulls=True).over(
         by_epoch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    counted = marked.withColumn("counter", F.col("row") - last_row)
+    counted = marked.withColumn("counter", F.col("row") - F.coalesce(last_row, F.lit(0)))
     stopped = F.max((F.col("counter") >= patience).cast("int")).over(earlier)
     return counted.select(
         run,

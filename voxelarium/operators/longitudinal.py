@@ -6,12 +6,13 @@ length of a patient's window is bounded by the calendar and not by the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxelarium.operators.distributed import join_summary
 from voxelarium.operators.voxels import AXES, BRICK_SHAPE, voxel_position
+from voxelarium.storage import materialise
 
 
 def daily_volumes(df: DataFrame, patient: str = "patient", value: str = "value") -> DataFrame:
@@ -107,6 +108,91 @@ def delta_image(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _packed_regions(bricks: DataFrame, regions: Mapping[str, Sequence[int]]) -> list[Column]:
+    """For each region the voxels that belong to it as bits, 63 to a long."""
+    words = F.sequence(F.lit(0), F.ceil(F.size("values") / 63).cast("int") - 1)
+
+    def packed(labels: Sequence[int]) -> Column:
+        def word(w: Column) -> Column:
+            part = F.slice(F.col("values"), w * 63 + 1, F.lit(63))
+            return F.aggregate(
+                part, F.lit(0).cast("long"), lambda a, v: F.shiftleft(a, 1).bitwiseOR(F.rint(v).cast("int").isin(list(labels)).cast("long"))
+            )
+
+        return F.when(F.size("values") > 0, F.transform(words, word)).otherwise(F.array().cast("array<bigint>"))
+
+    return [packed(labels).alias(f"r{i}") for i, labels in enumerate(regions.values())]
+
+
+def temporal_consistency(before: DataFrame, after: DataFrame, key: str, regions: Mapping[str, Sequence[int]]) -> DataFrame:
+    """How much of each region two masks of ``key`` share: voxels of both visits, kept, new and gone, Dice, Jaccard.
+
+    Bricks carry a bit per voxel and region, are joined by place, and only numbers of set
+    bits leave them.  A brick that one visit lacks counts as background; patients without a
+    second mask are left out.  Two absent regions agree, score 1.
+    """
+    place = [key, "bx", "by", "bz"]
+    names, many = list(regions), range(len(regions))
+
+    def bits(bricks: DataFrame, side: str) -> DataFrame:
+        return bricks.select(*place, *_packed_regions(bricks, regions)).withColumnsRenamed({f"r{i}": f"{side}{i}" for i in many})
+
+    def ones(words: Column) -> Column:
+        return F.aggregate(F.coalesce(words, F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, w: a + F.bit_count(w))
+
+    both = bits(before, "a").join(bits(after, "b"), place, "full")
+    seen = [F.max(F.col(f"{side}0").isNotNull()).alias(f"has_{side}") for side in "ab"]
+    sums = []
+    for i in many:
+        a, b = F.col(f"a{i}"), F.col(f"b{i}")
+        shared = F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)).bitwiseAND(F.coalesce(y, F.lit(0))))
+        sums += [F.sum(ones(a)).alias(f"a{i}"), F.sum(ones(b)).alias(f"b{i}"), F.sum(ones(shared)).alias(f"o{i}")]
+    wide = both.groupBy(key).agg(*seen, *sums).where("has_a and has_b")
+    cells = [
+        F.struct(F.lit(names[i]).alias("region"), F.col(f"a{i}").alias("n_before"), F.col(f"b{i}").alias("n_after"), F.col(f"o{i}").alias("n_both"))
+        for i in many
+    ]
+    long = wide.select(key, F.inline(F.array(*cells)))
+    a, b, o = F.col("n_before"), F.col("n_after"), F.col("n_both")
+    return long.select(
+        key, "region", "n_before", "n_after", "n_both", (b - o).alias("n_appeared"), (a - o).alias("n_vanished"),
+        F.coalesce(F.try_divide(2.0 * o, a + b), F.lit(1.0)).alias("dice"),
+        F.coalesce(F.try_divide(o.cast("double"), a + b - o), F.lit(1.0)).alias("jaccard"),
+    )
+
+
+def as_of(asked: DataFrame, measured: DataFrame, key: str, time: str, value: str, period: str = "DAY") -> DataFrame:
+    """``asked`` with the last ``value`` measured at or before its ``time``, and when that was.
+
+    Both timelines are united and sorted once inside each key and ``period``; what was last
+    known before a period is carried in from a table with one row per key and period that
+    has measurements.  A key with most of all rows is thus sorted in as many tasks as it has
+    periods, and no row is made for times without one.  Of measurements at the same time
+    the largest value counts.  Rows without a key or time have no value.
+    """
+    bucket = F.date_trunc(period, F.col(time).cast("timestamp"))
+    taken = measured.where(F.col(value).isNotNull() & F.col(time).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key), F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_new"), bucket.alias("_period")
+    )
+    last = taken.groupBy(key, "_period").agg(F.max("_new").alias("_last"))
+    carried = materialise(
+        last.union(asked.where(F.col(time).isNotNull()).select(key, bucket, F.lit(None).cast(last.schema["_last"].dataType)).distinct())
+        .groupBy(key, "_period").agg(F.max("_last").alias("_last"))
+        .withColumn("_before", F.max("_last").over(Window.partitionBy(key).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)))
+        .select(key, "_period", "_before"),
+        "carried",
+    )
+    # Measurements come before questions of the same time.
+    rows = asked.withColumns({"_at": F.col(time), "_side": F.lit(1), "_period": bucket, "_new": F.lit(None).cast(taken.schema["_new"].dataType)})
+    new = taken.select(*[F.col(key) if c == key else F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in asked.columns],
+                       F.col("_new.t").alias("_at"), F.lit(0).alias("_side"), "_period", "_new")
+    order = Window.partitionBy(key, "_period").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.unionByName(new).withColumn("_seen", F.max("_new").over(order)).where("_side = 1")
+    known = F.coalesce("_seen", "_before")
+    out = seen.join(carried, [key, "_period"], "left")
+    return out.select(*[F.col(c) for c in asked.columns], known["v"].alias(value), known["t"].alias("measured_at"))
+
+
 def kaplan_meier(df: DataFrame, group: str, time: str = "time", event: str = "event") -> DataFrame:
     """Product-limit survival per group at every distinct time, in whole days.
 

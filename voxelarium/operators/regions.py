@@ -1,4 +1,9 @@
-"""From segmentation labels to region volumes, presence and labels."""
+"""From segmentation labels to region volumes, presence and labels.
+
+``seg`` is ``case_id, label`` with a row per voxel, or with a column ``voxels`` of counts,
+as ``label_histogram`` makes them from bricks.  A mask without any label above zero is a
+case like all others: its background counts.
+"""
 
 from __future__ import annotations
 
@@ -26,9 +31,17 @@ def region_map(df: DataFrame, regions: Mapping[str, Sequence[int]]) -> DataFrame
     return df.sparkSession.createDataFrame(rows, "region string, label int")
 
 
+def _voxels(seg: DataFrame, condition: Column | None = None) -> Column:
+    """Number of voxels, those that meet the condition if there is one."""
+    if "voxels" not in seg.columns:
+        return F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    n = F.col("voxels") if condition is None else F.when(condition, F.col("voxels"))
+    return F.coalesce(F.sum(n), F.lit(0))
+
+
 def label_counts(seg: DataFrame) -> DataFrame:
     """Voxels per case and label; everything below works on this reduced table."""
-    return seg.groupBy("case_id", "label").agg(F.count(F.lit(1)).alias("voxels"))
+    return seg.groupBy("case_id", "label").agg(_voxels(seg).alias("voxels"))
 
 
 def label_volumes(seg: DataFrame, spacing: Sequence[float] = VOXEL_SPACING) -> DataFrame:
@@ -57,7 +70,7 @@ def region_volumes(
     cases and regions has to be joined.
     """
     names = list(regions)
-    sums = [F.count_if(F.col("label").isin(list(regions[r]))).alias(f"r{i}") for i, r in enumerate(names)]
+    sums = [_voxels(seg, F.col("label").isin(list(regions[r]))).alias(f"r{i}") for i, r in enumerate(names)]
     wide = seg.groupBy("case_id").agg(*sums)
     cells = [
         F.struct(F.lit(r).alias("region"), F.col(f"r{i}").alias("voxels")) for i, r in enumerate(names)
@@ -73,9 +86,9 @@ def derive_labels(seg: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     With ``cases`` listed, those without a mask follow with zeros.
     """
     counts = seg.groupBy("case_id").agg(
-        F.count_if(F.col("label") == 3).alias("et_volume"),
-        F.count_if(F.col("label").isin(2, 3)).alias("tc_volume"),
-        F.count_if(F.col("label").isin(1, 2, 3)).alias("wt_volume"),
+        _voxels(seg, F.col("label") == 3).alias("et_volume"),
+        _voxels(seg, F.col("label").isin(2, 3)).alias("tc_volume"),
+        _voxels(seg, F.col("label").isin(1, 2, 3)).alias("wt_volume"),
     )
     if cases is not None:
         counts = cases.select("case_id").join(counts, "case_id", "left")
@@ -103,7 +116,7 @@ def region_summary(volumes: DataFrame, region: str = "region", mm3: str = "mm3")
 def tumor_fractions(seg: DataFrame, target: int = 4) -> DataFrame:
     """Target voxels and their share of all voxels, per case."""
     hits = seg.groupBy("case_id").agg(
-        F.count_if(F.col("label") == target).alias("voxels"), F.count(F.lit(1)).alias("n")
+        _voxels(seg, F.col("label") == target).alias("voxels"), _voxels(seg).alias("n")
     )
     return hits.withColumn("fraction", F.try_divide("voxels", "n"))
 

@@ -7,8 +7,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxelarium.operators.bincounts import brick_moments, value_histogram, volume_percentiles, volume_shape
 from voxelarium.operators.distributed import exact_percentiles, join_summary
-from voxelarium.operators.voxels import explode_bricks, stride_sample
+from voxelarium.operators.voxels import explode_bricks, stride_bricks
 from voxelarium.storage import materialise
 
 MOMENTS = ["s", "s2", "n", "npos", "mn", "mx"]
@@ -77,6 +78,45 @@ def percentiles(
     return exact.select(*keys, *[F.col(f"p{i}").alias(k) for i, k in enumerate(names)])
 
 
+def value_sketches(df: DataFrame, keys: Sequence[str], value: str = "value", k: int = 800) -> DataFrame:
+    """``keys, n, sketch``: a KLL sketch of each group as bytes, to be stored and merged later."""
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Stored sketches merged upwards to coarser keys; the raw values are not read again."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_percentiles(sketches: DataFrame, keys: Sequence[str], fractions: Mapping[str, float]) -> DataFrame:
+    """``keys, n, name, fraction, estimate`` of stored sketches.
+
+    With ``k`` of 800 an estimate's rank is off by less than half a percent of ``n`` at 99
+    percent confidence, whatever the number of merges.
+    """
+    cells = [
+        F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("fraction"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("estimate"))
+        for name, p in fractions.items()
+    ]
+    return sketches.where("n > 0").select(*keys, "n", F.inline(F.array(*cells)))
+
+
+def rank_errors(df: DataFrame, estimates: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """``estimates`` with the distance of each one's rank in ``df`` from the wanted one, as a share of ``n``."""
+    keys = list(keys)
+    estimates = materialise(estimates, "estimates")  # merging draws at random
+    asked = estimates.groupBy(*keys).agg(F.collect_list(F.struct("name", "estimate")).alias("asked"))
+    v = F.col(value).cast("double")
+    cells = F.transform("asked", lambda a: F.struct(a["name"].alias("name"), (v < a["estimate"]).alias("below"), (v <= a["estimate"]).alias("upto")))
+    ranks = (
+        join_summary(df, asked, keys).select(*keys, F.inline(cells)).groupBy(*keys, "name")
+        .agg(F.count_if("below").alias("below"), F.count_if("upto").alias("upto"))
+    )
+    place = F.col("fraction") * F.col("n")
+    off = F.greatest(F.col("below") - place, place - F.col("upto"), F.lit(0.0)) / F.col("n")
+    return estimates.join(ranks, [*keys, "name"]).select(*keys, "n", "name", "fraction", "estimate", off.alias("rank_error"))
+
+
 def approximate_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -121,8 +161,8 @@ def sampled_percentiles(
     bricks: DataFrame, n_cases: int, stride: int, fractions: Mapping[str, float]
 ) -> DataFrame:
     """Percentiles over strided voxels of the first cases, never truncated; cases are chosen among bricks."""
-    chosen = explode_bricks(first_cases(bricks, n_cases))
-    return percentiles(stride_sample(chosen, stride), ["modality"], fractions)
+    chosen = explode_bricks(stride_bricks(first_cases(bricks, n_cases), stride))
+    return percentiles(chosen, ["modality"], fractions)
 
 
 def bin_counts(
@@ -298,17 +338,12 @@ def stats_cube(df: DataFrame, dimensions: Sequence[str], value: str = "value") -
 def first_order_features(bricks: DataFrame, keys: Sequence[str], bins: int = 16) -> DataFrame:
     """Mean, median, deviation, skewness, kurtosis and histogram entropy (nats) of bricks."""
     keys = list(keys)
-    values = bricks.select(*keys, F.explode("values").alias("v")).withColumn("v", F.col("v").cast("double"))
-    shape = values.groupBy(*keys).agg(
-        F.avg("v").alias("mean"),
-        F.stddev_pop("v").alias("std"),
-        F.skewness("v").alias("skewness"),
-        F.kurtosis("v").alias("kurtosis"),
-    )
-    middle = exact_percentiles(bricks, keys, "values", [0.5], packed=True)
-    limits = middle.select(*keys, "mn", F.col("mx").alias("top"), F.col("mx").alias("limit"))
-    counts = bin_counts(bricks, keys, limits, bins, "values", packed=True).where("n > 0")
+    shape = materialise(volume_shape(brick_moments(bricks, keys), keys), "volume-shapes")
+    middle = volume_percentiles(bricks, keys, [0.5])
+    limited = join_summary(bricks, shape.select(*keys, "mn", "mx"), keys)
+    counts = value_histogram(limited, keys, bins, "mn", "mx")
     entropy = counts.groupBy(*keys).agg(
         (F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")).alias("entropy")
     )
-    return shape.join(middle.select(*keys, F.col("p0").alias("median")), keys).join(entropy, keys)
+    median = middle.select(*keys, F.col("p0").alias("median"))
+    return shape.drop("n", "mn", "mx").join(median, keys).join(entropy, keys)

@@ -16,7 +16,8 @@ from math import prod
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelarium.conventions import CLIP_PERCENTILE, EPSILON, MASK_THRESHOLD
-from voxelarium.operators.distributed import exact_percentiles, hash_to_int, join_summary, seeded_hash
+from voxelarium.operators.bincounts import brick_moments, volume_percentiles, volume_shape
+from voxelarium.operators.distributed import hash_to_int, join_summary, seeded_hash
 from voxelarium.storage import materialise
 
 AXES = ("x", "y", "z")
@@ -60,6 +61,24 @@ def stride_sample(vox: DataFrame, k: int) -> DataFrame:
     return vox.where(" and ".join(f"{a} % {k} = 0" for a in AXES))
 
 
+def stride_bricks(bricks: DataFrame, k: int) -> DataFrame:
+    """Bricks of every ``k``-th voxel along each axis, counted in steps of the stride.
+
+    Bricks between two steps go by their corner; what is left is gathered inside the array.
+    """
+    first = {a: F.ceil(F.col(f"{a}0") / k).cast("int") for a in AXES}
+    last = {a: F.floor((F.col(f"{a}0") + F.col(f"n{a}") - 1) / k).cast("int") for a in AXES}
+    kept = bricks.where(reduce(lambda p, a: p & (first[a] <= last[a]), AXES, F.lit(True)))
+    steps = kept.withColumns({f"_s{a}": first[a] for a in AXES} | {f"_c{a}": last[a] - first[a] + 1 for a in AXES})
+    place = (
+        f"((_sx + t div (_cy * _cz)) * {k} - x0) * ny * nz + ((_sy + (t div _cz) % _cy) * {k} - y0) * nz + (_sz + t % _cz) * {k} - z0"
+    )
+    gathered = F.expr(f"transform(sequence(0, _cx * _cy * _cz - 1), t -> get(values, cast({place} as int)))")
+    out = steps.withColumn("values", gathered)
+    moved = {f"{a}0": F.col(f"_s{a}") for a in AXES} | {f"n{a}": F.col(f"_c{a}") for a in AXES}
+    return out.withColumns(moved).drop(*[f"_{p}{a}" for p in "sc" for a in AXES])
+
+
 def threshold_mask(vox: DataFrame, threshold: float = MASK_THRESHOLD) -> DataFrame:
     return vox.withColumn("mask", F.when(F.col("value") > threshold, 1.0).otherwise(0.0))
 
@@ -90,7 +109,7 @@ def explode_masked(masked: DataFrame) -> DataFrame:
 def window_minmax(bricks: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Scale each volume to [0, 1] between two of its percentiles."""
     keys = ["case_id", "modality"]
-    limits = exact_percentiles(bricks, keys, "values", [low, high], packed=True).select(*keys, "p0", "p1")
+    limits = volume_percentiles(bricks, keys, [low, high]).select(*keys, "p0", "p1")
     scaled = map_values(
         join_summary(bricks, limits, keys),
         lambda v: F.greatest(
@@ -117,12 +136,9 @@ def ctn_normalize(
     )
     # Three passes read the masked values; the join with the mask runs once.
     packed = materialise(masked.select(*keys, inner.alias("inner")).where(F.size("inner") > 0), "masked")
-    limits = exact_percentiles(packed, keys, "inner", [clip], packed=True).select(*keys, "p0")
-    clipped = join_summary(packed, limits, keys).select(*keys, "p0", F.explode("inner").alias("v"))
-    clipped = clipped.withColumn("v", F.least(F.col("v").cast("double"), F.col("p0")))
-    moments = clipped.groupBy(*keys, "p0").agg(
-        F.avg("v").alias("mean"), (F.stddev_pop("v") + EPSILON).alias("sd")
-    )
+    limits = materialise(volume_percentiles(packed, keys, [clip], "inner").select(*keys, "p0"), "clips")
+    clipped = volume_shape(brick_moments(join_summary(packed, limits, keys), keys, "inner", "p0"), keys)
+    moments = clipped.select(*keys, "mean", (F.col("std") + EPSILON).alias("sd")).join(limits, keys)
     extremes = bricks.groupBy(*keys).agg(
         F.min(F.array_min("values")).cast("double").alias("lowest"),
         F.max(F.array_max("values")).cast("double").alias("highest"),

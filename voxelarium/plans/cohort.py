@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from voxelarium import bindings as b
-from voxelarium.conventions import MODALITY_NAMES
+from voxelarium.conventions import MODALITY_NAMES, REGION_PRESETS
 from voxelarium.functions import ids, scalars
 from voxelarium.operators import cohort, regions, scoring, stats
 from voxelarium.operators import voxels as v
@@ -15,7 +15,7 @@ from voxelarium.plans.registry import LAB, SCAN, SEG, VOX, VOX64, query, r, roun
 from voxelarium.plans.voxels import CTN_SQL
 from voxelarium.sinks import tables as sinks
 from voxelarium.sources import inventory, tables, volumes
-from voxelarium.storage import new_folder
+from voxelarium.storage import materialise, new_folder
 
 # Which file code each event type plays; the unknown code must be dropped.
 CODES = {"click": "t1c", "error": "seg", "purchase": "t1n", "signup": "2w", "view": "t2f"}
@@ -83,6 +83,22 @@ def cohort_overview(spark, sf_dir):
     )
 
 
+@query(
+    "approximate_overview",
+    f"""WITH {SCAN} SELECT modality, count(*) AS n_rows, TRUE AS patients_close, TRUE AS cases_close, TRUE AS days_close
+    FROM scan GROUP BY modality""",
+)
+def approximate_overview(spark, sf_dir):
+    """Sketches of each week, written, merged per modality and held against the exact counts: all within 2.5 percent."""
+    columns = {"patients": "patient", "cases": "case_id", "days": "day"}
+    scans = b.scan(spark, sf_dir).withColumn("week", F.date_trunc("week", "day"))
+    sketches = materialise(cohort.distinct_sketches(scans, ["modality", "week"], columns), "distinct-sketches")
+    estimates = cohort.approximate_overview(sketches, list(columns), ["modality"])
+    exact = scans.groupBy("modality").agg(*[F.count_distinct(c).alias(f"n_{name}") for name, c in columns.items()])
+    close = [(F.abs(F.col(name) - F.col(f"n_{name}")) <= F.greatest(0.025 * F.col(f"n_{name}"), F.lit(1.0))).alias(f"{name}_close") for name in columns]
+    return estimates.join(exact, "modality").select("modality", "n_rows", *close)
+
+
 @query(
     "class_balance",
     f"WITH {LAB} SELECT grade, count(*) AS n, {r('100.0 * count(*) / (SELECT count(*) FROM lab)')} AS pct FROM lab GROUP BY grade",
@@ -366,8 +382,49 @@ def decoded_segmentations(spark, sf_dir):
     )
     vectors = _scan_files(spark, sf_dir, F.lit("-seg.nii.gz")).withColumn("mask", label)
     decoded = volumes.decode_volumes(volumes.encode_files(vectors, F.col("name"), "mask", (4, 4, 4)), size=(3, 3, 3))
-    labelled = volumes.segmentation_voxels(decoded)
-    return labelled.groupBy("case_id", "label").agg(F.count(F.lit(1)).alias("voxels"))
+    return volumes.segmentation_counts(decoded).where("label > 0")
+
+
+FEW_SQL = f"""{VOX64}, seg AS (SELECT concat('case', case_id) AS case_id,
+      CASE WHEN value > 0.3 THEN 4 WHEN value > 0.28 THEN 2 WHEN value > 0.26 THEN 1 ELSE 0 END AS label FROM vox64)"""
+
+
+def _few_masks(spark, sf_dir):
+    """Mask files with few labelled voxels, many of them without a tumour, counted per case and label."""
+    label = F.transform(
+        "embedding",
+        lambda x: F.when(x.cast("double") > 0.3, 4).when(x.cast("double") > 0.28, 2).when(x.cast("double") > 0.26, 1).otherwise(0).cast("float"),
+    )
+    vectors = _scan_files(spark, sf_dir, F.lit("-seg.nii.gz")).withColumn("mask", label)
+    decoded = volumes.decode_volumes(volumes.encode_files(vectors, F.col("name"), "mask", (4, 4, 4)), size=(3, 3, 3))
+    return volumes.segmentation_counts(decoded)
+
+
+@query(
+    "decoded_mask_volumes",
+    f"""WITH {FEW_SQL}, map(region, label) AS (VALUES {", ".join(f"('{region}', {k})" for region, ks in REGION_PRESETS["eda"].items() for k in ks)})
+    SELECT s.case_id, g.region, count(*) FILTER (s.label IN (SELECT label FROM map m WHERE m.region = g.region)) AS voxels,
+      CAST(count(*) FILTER (s.label IN (SELECT label FROM map m WHERE m.region = g.region)) AS DOUBLE) AS mm3
+    FROM seg s CROSS JOIN (SELECT DISTINCT region FROM map) g GROUP BY ALL""",
+)
+def decoded_mask_volumes(spark, sf_dir):
+    """From mask files to the volume of every region, zero for masks without it."""
+    return regions.region_volumes(_few_masks(spark, sf_dir), REGION_PRESETS["eda"])
+
+
+@query(
+    "decoded_mask_presence",
+    f"""WITH {FEW_SQL}, c AS (SELECT case_id, count(*) FILTER (label = 4) AS voxels, count(*) AS n FROM seg GROUP BY case_id)
+    SELECT count(*) FILTER (voxels > 0) AS n_with, count(*) FILTER (voxels = 0) AS n_without,
+      {r('100.0 * count(*) FILTER (voxels > 0) / count(*)')} AS with_pct,
+      {r('avg(voxels) FILTER (voxels > 0)')} AS mean_voxels,
+      {r('quantile_cont(voxels, 0.5) FILTER (voxels > 0)')} AS median_voxels, CAST(max(voxels) AS BIGINT) AS max_voxels,
+      {r('avg(voxels::DOUBLE / n) FILTER (voxels > 0)')} AS mean_fraction,
+      {r('max(voxels::DOUBLE / n)')} AS max_fraction FROM c""",
+)
+def decoded_mask_presence(spark, sf_dir):
+    """Cases with and without the target and its share of the whole mask, from files."""
+    return rounded(regions.presence_and_fraction(_few_masks(spark, sf_dir)))
 
 
 STACK = ["t1c", "t1n", "t2f", "t2w"]
@@ -390,6 +447,27 @@ def stacked_array_bricks(spark, sf_dir):
 FILE_KIND_SQL = """CASE label % 4 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'unnamed' WHEN 2 THEN 'several channels' END"""
 
 
+@query(
+    "undecodable_arrays",
+    """SELECT concat('/scans/case', vec_id, '.npy') AS path,
+      CASE WHEN label = 0 THEN 'unreadable' ELSE '2 channels, expected 4' END AS problem FROM embeddings WHERE label < 3""",
+)
+def undecodable_arrays(spark, sf_dir):
+    """Arrays cut short and arrays of another number of channels, by name; whole ones are not listed."""
+    import io
+
+    import numpy as np
+
+    vectors = _scan_files(spark, sf_dir, F.lit(".npy"))
+    pair = volumes.encode_files(vectors.where("label in (1, 2)"), F.col("name"), "embedding", (2, 8, 2, 2), volumes.write_npy)
+    four = volumes.encode_files(vectors.where("label not in (1, 2)"), F.col("name"), "embedding", (4, 4, 2, 2), volumes.write_npy)
+    label = vectors.select(F.col("name").alias("path"), "label")
+    short = F.when(F.col("label") == 0, F.expr("substring(content, 1, length(content) - 16)")).otherwise(F.col("content"))
+    files = pair.union(four).join(label, "path").select("path", short.alias("content"))
+    decoded = volumes.decode_volumes(files, lambda content: np.load(io.BytesIO(content), allow_pickle=False), (4, 4, 4))
+    return volumes.undecodable_arrays(decoded, STACK).select("path", "problem")
+
+
 @query(
     "undecodable_files",
     f"""WITH f AS (SELECT vec_id, label, {FILE_KIND_SQL} AS problem FROM embeddings)

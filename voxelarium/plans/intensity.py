@@ -8,6 +8,7 @@ from voxelarium import bindings as b
 from voxelarium.operators import stats
 from voxelarium.operators import voxels as v
 from voxelarium.plans.registry import SCAN, VOX, query, r, rounded
+from voxelarium.storage import materialise
 
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 # The percentiles of the reports.
@@ -219,3 +220,18 @@ def ct_window(spark, sf_dir):
 
     events = b.table(spark, sf_dir, "events")
     return rounded(events.select("event_id", hu_window(F.col("value") * 10 - 300).alias("windowed")))
+
+
+@query(
+    "merged_sketch_percentiles",
+    f"""WITH {VOX} SELECT modality, count(*) AS n, name, fraction, TRUE AS within_bound
+    FROM vox CROSS JOIN (VALUES ('p01', 0.01::DOUBLE), ('p50', 0.5::DOUBLE), ('p99', 0.99::DOUBLE)) f(name, fraction) GROUP BY ALL""",
+)
+def merged_sketch_percentiles(spark, sf_dir):
+    """Sketches per case and modality, written, merged per modality: every rank is within one percent of the wanted one."""
+    vox = b.vox(spark, sf_dir)
+    sketches = materialise(stats.value_sketches(vox, ["case_id", "modality"]), "value-sketches")
+    merged = stats.merged_sketches(sketches, ["modality"])
+    estimates = stats.sketch_percentiles(merged, ["modality"], {"p01": 0.01, "p50": 0.5, "p99": 0.99})
+    checked = stats.rank_errors(vox, estimates, ["modality"])
+    return checked.select("modality", "n", "name", "fraction", (F.col("rank_error") <= 0.01).alias("within_bound"))

@@ -22,6 +22,23 @@ def _daily(spark, sf_dir):
     return longitudinal.daily_volumes(b.scan(spark, sf_dir))
 
 
+@query(
+    "as_of_volumes",
+    f"""WITH {DAILY_SQL}, asked AS (SELECT user_id AS patient, event_id, ts FROM events),
+    known AS (SELECT CAST(patient AS BIGINT) AS patient, CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR AS ts, volume FROM daily
+      WHERE (day(day) + patient) % 3 = 0)
+    SELECT a.patient, a.event_id, {r('k.volume')} AS volume, CAST(k.ts AS VARCHAR) AS measured_at
+    FROM asked a ASOF LEFT JOIN known k ON a.patient = k.patient AND a.ts >= k.ts""",
+)
+def as_of_volumes(spark, sf_dir):
+    """The volume last measured (at noon, not every day) when each event happened."""
+    daily = longitudinal.daily_volumes(b.scan(spark, sf_dir)).where((F.day("day") + F.col("patient")) % 3 == 0)
+    measured = daily.withColumn("ts", F.col("day").cast("timestamp") + F.expr("INTERVAL 12 HOURS"))
+    asked = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("patient"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = longitudinal.as_of(asked, measured, "patient", "ts", "volume")
+    return rounded(found.select("patient", "event_id", "volume", F.col("measured_at").cast("string").alias("measured_at")))
+
+
 @query(
     "progression",
     f"""WITH {LAGGED_SQL}, g AS (SELECT *, (volume - previous) / nullif(previous, 0) AS dp, (volume - nadir) / nullif(nadir, 0) AS dn,

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelarium import bindings as b
+from voxelarium.conventions import REGION_PRESETS
 from voxelarium.functions import ids
 from voxelarium.operators import components, longitudinal
 from voxelarium.operators import voxels as v
 from voxelarium.plans.registry import VOX, VOX64, query, r, rounded
+from voxelarium.sinks import tables as sinks
 
 SHAPE = (4, 2, 2)
 CUBE = (4, 4, 4)
@@ -42,7 +44,8 @@ def volume_shapes(spark, sf_dir):
     f"WITH {VOX} SELECT case_id, modality, x, y, z, {r('value')} AS value FROM vox WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0",
 )
 def strided_voxels(spark, sf_dir):
-    return rounded(v.stride_sample(b.vox(spark, sf_dir), 2))
+    cells = v.explode_bricks(v.stride_bricks(b.bricks(spark, sf_dir), 2))
+    return rounded(cells.withColumns({a: F.col(a) * 2 for a in v.AXES}))
 
 
 @query(
@@ -78,6 +81,24 @@ def masked_voxels(spark, sf_dir):
     return rounded(v.explode_masked(v.apply_mask(bricks, v.mask_bricks(bricks, 1, 0.0))))
 
 
+@query(
+    "bucketed_mask_join",
+    f"""WITH {VOX}, m AS (SELECT case_id, x, y, z FROM vox WHERE modality = 1 AND value > 0)
+    SELECT v.case_id, v.modality, count(*) AS n, {r('sum(v.value)')} AS total FROM vox v
+    JOIN m ON v.case_id = m.case_id AND v.x = m.x AND v.y = m.y AND v.z = m.z GROUP BY ALL""",
+)
+def bucketed_mask_join(spark, sf_dir):
+    """Masked sums of volumes; scans and mask lie in buckets by brick, so their join moves nothing."""
+    bricks = sinks.bucketed_bricks(b.bricks(spark, sf_dir), 8)
+    masked = v.apply_mask(bricks, v.mask_bricks(bricks, 1, 0.0).hint("merge"))
+    inner = F.transform(F.filter(F.arrays_zip("values", "inside"), lambda c: c["inside"]), lambda c: c["values"].cast("double"))
+    sums = masked.select("case_id", "modality", inner.alias("inner")).select(
+        "case_id", "modality", F.size("inner").alias("n"), F.aggregate("inner", F.lit(0.0), lambda a, x: a + x).alias("total")
+    )
+    whole = sums.groupBy("case_id", "modality").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return rounded(whole.where("n > 0"))
+
+
 CTN_SQL = f"""{VOX}, m AS (SELECT case_id, x, y, z FROM vox WHERE modality = 1 AND value > 0),
   inside AS (SELECT v.* FROM vox v JOIN m ON v.case_id = m.case_id AND v.x = m.x AND v.y = m.y AND v.z = m.z),
   p AS (SELECT case_id, modality, quantile_cont(value, 0.995::DOUBLE) AS p FROM inside GROUP BY ALL),
@@ -136,7 +157,7 @@ def zscored_volumes(spark, sf_dir):
     f"""WITH {VOX} SELECT case_id, modality, {r('quantile_cont(value, 0.995::DOUBLE)')} AS p995 FROM vox GROUP BY ALL""",
 )
 def volume_percentile_cut(spark, sf_dir):
-    exact = v.exact_percentiles(b.bricks(spark, sf_dir), ["case_id", "modality"], "values", [0.995], packed=True)
+    exact = v.volume_percentiles(b.bricks(spark, sf_dir), ["case_id", "modality"], [0.995])
     return rounded(exact.select("case_id", "modality", F.col("p0").alias("p995")))
 
 
@@ -340,6 +361,35 @@ def delta_images(spark, sf_dir):
     return rounded(longitudinal.delta_image(visits.where("visit = 0"), visits.where("visit = 1"), "patient"))
 
 
+@query(
+    "temporal_consistency",
+    f"""WITH {VOX64}, m AS (SELECT case_id, x, y, z, CASE WHEN value > 0.1 THEN 3 WHEN value > 0.05 THEN 2 WHEN value > 0 THEN 1 ELSE 0 END AS label FROM vox64),
+    map(region, label) AS (VALUES ('et', 3), ('tc', 2), ('tc', 3), ('wt', 1), ('wt', 2), ('wt', 3)),
+    c AS (SELECT a.case_id // 2 AS patient, g.region,
+        count(*) FILTER (a.label IN (SELECT label FROM map m WHERE m.region = g.region)) AS n_before,
+        count(*) FILTER (b.label IN (SELECT label FROM map m WHERE m.region = g.region)) AS n_after,
+        count(*) FILTER (a.label IN (SELECT label FROM map m WHERE m.region = g.region)
+          AND b.label IN (SELECT label FROM map m WHERE m.region = g.region)) AS n_both
+      FROM m a JOIN m b ON a.case_id % 2 = 0 AND b.case_id = a.case_id + 1 AND a.x = b.x AND a.y = b.y AND a.z = b.z
+      CROSS JOIN (SELECT DISTINCT region FROM map) g GROUP BY ALL)
+    SELECT patient, region, n_before, n_after, n_both, n_after - n_both AS n_appeared, n_before - n_both AS n_vanished,
+      round(coalesce(2.0::DOUBLE * n_both / nullif(n_before + n_after, 0), 1.0), 6) + 0.0 AS dice,
+      round(coalesce(n_both::DOUBLE / nullif(n_before + n_after - n_both, 0), 1.0), 6) + 0.0 AS jaccard FROM c""",
+)
+def temporal_consistency(spark, sf_dir):
+    # Cases 2k and 2k + 1 are the two visits of patient k.
+    label = F.transform(
+        "values",
+        lambda x: F.when(x.cast("double") > 0.1, 3).when(x.cast("double") > 0.05, 2).when(x.cast("double") > 0, 1).otherwise(0).cast("float"),
+    )
+    masks = b.bricks64(spark, sf_dir).withColumns(
+        {"values": label, "patient": F.expr("case_id div 2"), "visit": F.expr("case_id % 2")}
+    )
+    # The last case of an odd number has no second visit.
+    before, after = masks.where("visit = 0"), masks.where("visit = 1")
+    return rounded(longitudinal.temporal_consistency(before, after, "patient", REGION_PRESETS["preproc"]))
+
+
 @query(
     "tiled_bricks",
     f"""WITH {VOX64} SELECT case_id, CAST(x // 3 AS INTEGER) AS bx, CAST(y // 3 AS INTEGER) AS "by", CAST(z // 3 AS INTEGER) AS bz,

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from voxelarium.operators.cohort import dedup_keep_first
+from voxelarium.operators.voxels import BRICK_KEYS
+from voxelarium.storage import new_folder
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", **options) -> None:
@@ -44,6 +49,21 @@ def write_normalised(bricks: DataFrame, path: str, partitions: int | None = None
     ordered.write.mode("overwrite").partitionBy("modality").parquet(path)
 
 
+def bucketed_bricks(bricks: DataFrame, buckets: int, path: str | None = None, keys: Sequence[str] = BRICK_KEYS) -> DataFrame:
+    """Bricks written as a table of hash buckets by ``keys`` and read back.
+
+    Tables of the same keys and number of buckets join and aggregate by these keys where
+    they lie: no shuffle.  A task writes one whole bucket, so a bucket is one file, sorted
+    by the keys.  Without a path the files belong to the surrounding ``scratch``.
+    """
+    spark = bricks.sparkSession
+    name = f"bricks_{uuid.uuid4().hex}"
+    spread = bricks.repartition(buckets, *keys)
+    writer = spread.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", path or new_folder(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
+
+
 def analysis_records(df: DataFrame) -> DataFrame:
     """Nested record of every case: prediction, probability, tumour characteristics."""
     characteristics = [

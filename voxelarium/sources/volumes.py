@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxelarium.conventions import MODALITY_NAMES, SEGMENTATION_CODE
 from voxelarium.functions import ids
+from voxelarium.operators.bincounts import label_histogram
 from voxelarium.operators.voxels import explode_bricks
 
 BRICK_SCHEMA = (
@@ -172,23 +173,42 @@ def scan_bricks(decoded: DataFrame) -> DataFrame:
     return _keyed(_named(decoded).where(F.col("problem").isNull() & (F.col("modality") != SEGMENTATION_CODE)))
 
 
+def segmentation_bricks(decoded: DataFrame) -> DataFrame:
+    """Bricks of the segmentation files, whose values are labels."""
+    return _keyed(_named(decoded).where(F.col("problem").isNull() & (F.col("modality") == SEGMENTATION_CODE)))
+
+
+def segmentation_counts(decoded: DataFrame) -> DataFrame:
+    """``case_id, label, voxels`` of the segmentation files, background included, counted inside the bricks."""
+    return label_histogram(segmentation_bricks(decoded))
+
+
 def segmentation_voxels(decoded: DataFrame) -> DataFrame:
-    """Labelled voxels ``case_id, x, y, z, label`` of the segmentation files; background is left out."""
-    bricks = _keyed(_named(decoded).where(F.col("problem").isNull() & (F.col("modality") == SEGMENTATION_CODE)))
-    labels = explode_bricks(bricks).select("case_id", "x", "y", "z", F.round("value").cast("int").alias("label"))
-    return labels.where("label <> 0")
+    """Voxels ``case_id, x, y, z, label`` of the segmentation files, background included."""
+    return explode_bricks(segmentation_bricks(decoded)).select("case_id", "x", "y", "z", F.rint("value").cast("int").alias("label"))
+
+
+def _stacked(decoded: DataFrame, modalities: Sequence[str]) -> DataFrame:
+    """Decoded arrays with the case of their file name and, if there is one, the problem."""
+    case = F.regexp_extract("path", r"([^/]+?)(?:\.[a-z]+)*$", 1)
+    problem = (
+        F.when(F.col("status") != "ok", "unreadable")
+        .when(case == "", "unnamed")
+        .when(F.col("channels") != len(modalities), F.concat(F.col("channels"), F.lit(f" channels, expected {len(modalities)}")))
+    )
+    return decoded.withColumns({"case_id": case, "problem": problem})
 
 
 def stacked_bricks(decoded: DataFrame, modalities: Sequence[str]) -> DataFrame:
     """Bricks of arrays that hold all ``modalities`` of a case, which the file is named after."""
     names = F.array(*[F.lit(m) for m in modalities])
-    whole = decoded.where((F.col("status") == "ok") & (F.col("channels") == len(modalities)))
-    return whole.withColumns(
-        {
-            "case_id": F.regexp_extract("path", r"([^/]+?)(?:\.[a-z]+)*$", 1),
-            "modality": F.get(names, F.col("channel")),
-        }
-    ).drop("path", "channel", "channels", "status", "error")
+    whole = _stacked(decoded, modalities).where("problem is null").withColumn("modality", F.get(names, F.col("channel")))
+    return whole.drop("path", "channel", "channels", "status", "error", "problem")
+
+
+def undecodable_arrays(decoded: DataFrame, modalities: Sequence[str]) -> DataFrame:
+    """Files that ``stacked_bricks`` leaves out: path, problem, error."""
+    return _stacked(decoded, modalities).where("problem is not null").select("path", "problem", "error").distinct()
 
 
 def undecodable_files(decoded: DataFrame) -> DataFrame:
