@@ -123,3 +123,53 @@ def test_repeated_batch_does_not_double_errors(spark):
     for batch in (1, 1, 2):
         sinks.quarantine(rows, path, batch)
     assert sinks.current_errors(spark.read.parquet(path)).count() == 20
+
+
+def test_updates_and_late_rows(spark, events):
+    """All windows after every batch; the row behind the watermark is counted apart, a restart changes nothing."""
+    path, rows = events
+    folder, progress = new_folder(spark, "updates"), new_folder(spark, "progress")
+
+    def run():
+        stream = jobs.read_files(spark, path, files_per_batch=1)
+        jobs.updating_moments(stream, ["event_type"], "ts", "value", "1 day", folder, progress)
+
+    def found():
+        windows = jobs.current_windows(spark, folder, ["event_type"]).collect()
+        return {(r.start, r.event_type): (r.n, r.s, r.mx) for r in windows}
+
+    run()
+    batch = rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(
+        F.count("value").alias("n"), F.sum("value").alias("s"), F.max("value").alias("mx")
+    )
+    expected = {(r.w.start, r.event_type): (r.n, r.s, r.mx) for r in batch.collect()}
+    assert found() == expected and jobs.late_rows(spark, folder).count() == 0
+    rows.limit(1).withColumn("value", F.lit(1e6)).coalesce(1).write.mode("append").parquet(path)
+    run()
+    run()
+    assert found() == expected
+    assert [(r.event_id, r.value) for r in jobs.late_rows(spark, folder).collect()] == [(0, 1e6)]
+
+
+def test_decoding_scan_files_as_they_arrive(spark, tmp_path):
+    import numpy as np
+
+    from voxelarium.sources import volumes
+
+    folder = tmp_path / "scans"
+    folder.mkdir()
+    bricks, errors, progress = (new_folder(spark, p) for p in ("bricks", "errors", "progress"))
+
+    def run():
+        jobs.decoding_ingest(jobs.read_scans(spark, str(folder), "*.nii.gz", 1), bricks, errors, progress, size=(2, 2, 2))
+
+    for i in range(2):
+        (folder / f"c{i}-t1n.nii.gz").write_bytes(volumes.write_nifti(np.full((4, 4, 4), i, np.float32)))
+    (folder / "c9-t1n.nii.gz").write_bytes(b"broken")
+    run()
+    run()
+    (folder / "c2-t1n.nii.gz").write_bytes(volumes.write_nifti(np.full((4, 4, 4), 2, np.float32)))
+    run()
+    stored = spark.read.parquet(bricks)
+    assert stored.count() == 24 and stored.where("channels = 1").selectExpr("sum(aggregate(values, 0f, (a, x) -> a + x))").first()[0] == 64 + 128
+    assert [r.path.rsplit("/", 1)[1] for r in spark.read.parquet(errors).collect()] == ["c9-t1n.nii.gz"]

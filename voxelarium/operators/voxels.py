@@ -191,7 +191,7 @@ def center_crop(vox: DataFrame, shape: Sequence[int], target: Sequence[int]) ->
     return out
 
 
-def _gathered(counts: Mapping[str, Column], place: Mapping[str, Callable[[Column], Column]]) -> Column:
+def gathered(counts: Mapping[str, Column], place: Mapping[str, Callable[[Column], Column]]) -> Column:
     """Values of a brick over the extents ``counts``; ``place`` gives each axis' old offset from the new one."""
     size = counts["x"] * counts["y"] * counts["z"]
 
@@ -226,7 +226,7 @@ def crop_bricks(bricks: DataFrame, shape: Sequence[int], target: Sequence[int])
         [(F.col(f"{a}0") < high[a]) & (F.col(f"{a}0") + F.col(f"n{a}") > low[a]) for a in AXES],
     )
     # In one step the lambda would read the new corners: names inside it may mean aliases beside it.
-    cut = bricks.where(near).withColumn("values", _gathered(counts, place))
+    cut = bricks.where(near).withColumn("values", gathered(counts, place))
     return cut.withColumns(
         {f"{a}0": corner[a].cast("int") for a in AXES} | {f"n{a}": counts[a].cast("int") for a in AXES}
     )
@@ -238,7 +238,7 @@ def flip_bricks(bricks: DataFrame, axis: str, size: int) -> DataFrame:
     place = {a: (lambda i: i) for a in AXES}
     place[axis] = lambda i: F.col(f"n{axis}") - 1 - i
     corner = F.lit(size) - F.col(f"{axis}0") - F.col(f"n{axis}")
-    return bricks.withColumn("values", _gathered(counts, place)).withColumn(f"{axis}0", corner.cast("int"))
+    return bricks.withColumn("values", gathered(counts, place)).withColumn(f"{axis}0", corner.cast("int"))
 
 
 def center_pad(vox: DataFrame, shape: Sequence[int], target: Sequence[int]) -> DataFrame:
@@ -308,6 +308,22 @@ def random_flips(
     return out.drop(*[f"_flip_{a}" for a in axes])
 
 
+def random_flip_bricks(
+    bricks: DataFrame, shape: Sequence[int], seed: int, epoch: int = 0, axes: Sequence[str] = AXES
+) -> DataFrame:
+    """``random_flips`` as bricks: the same tosses, values reordered inside each array."""
+    counts = {a: F.col(f"n{a}") for a in AXES}
+    place, corner = {}, {}
+    for a, size in zip(AXES, shape):
+        coin = hash_to_int(seeded_hash(seed, "case_id", F.lit(epoch), F.lit(a))) % 2 == 1 if a in axes else F.lit(False)
+        bricks = bricks.withColumn(f"_flip_{a}", coin)
+        place[a] = lambda i, a=a: F.when(F.col(f"_flip_{a}"), F.col(f"n{a}") - 1 - i).otherwise(i)
+        corner[f"{a}0"] = F.when(F.col(f"_flip_{a}"), F.lit(size) - F.col(f"{a}0") - F.col(f"n{a}")).otherwise(F.col(f"{a}0")).cast("int")
+    # In two steps: the lambdas must see the old corners.
+    turned = bricks.withColumn("values", gathered(counts, place))
+    return turned.withColumns(corner).drop(*[f"_flip_{a}" for a in AXES])
+
+
 def flip(vox: DataFrame, axis: str, size: int) -> DataFrame:
     return vox.withColumn(axis, F.lit(size - 1) - F.col(axis))
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelarium import bindings as b
+from voxelarium.functions import ids
 from voxelarium.operators import longitudinal, stats
-from voxelarium.plans.registry import HIST, SCAN, query, r, rounded
+from voxelarium.plans.registry import HIST, SCAN, VOX64, query, r, rounded
 from voxelarium.sinks import tables as sinks
+from voxelarium.sources import volumes
 from voxelarium.sources.tables import catalogue_ranking
-from voxelarium.storage import new_folder
+from voxelarium.storage import materialise, new_folder
 from voxelarium.streaming import jobs
 
 DAILY_SQL = f"{SCAN}, daily AS (SELECT patient, day, sum(value) AS volume FROM scan GROUP BY ALL)"
@@ -218,6 +220,48 @@ def streaming_sliding_moments(spark, sf_dir):
     return _shown(_closed_windows(spark, sf_dir, windows))
 
 
+@query(
+    "streaming_updates",
+    f"""SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, {r('sum(value)', 4)} AS total,
+      {r('min(value)')} AS mn, {r('max(value)')} AS mx, 0 AS late FROM events GROUP BY ALL""",
+)
+def streaming_updates(spark, sf_dir):
+    """All windows, open ones too, kept up to date batch by batch."""
+    folder, progress = new_folder(spark, "updates"), new_folder(spark, "progress")
+    for _ in range(2):  # the second start finds nothing left to do
+        events = jobs.read_files(spark, f"{sf_dir}/events.parquet")
+        jobs.updating_moments(events, ["event_type"], "ts", "value", "1 day", folder, progress)
+    late = jobs.late_rows(spark, folder).groupBy("event_type").agg(F.count(F.lit(1)).cast("int").alias("late"))
+    windows = jobs.current_windows(spark, folder, ["event_type"]).join(late, "event_type", "left")
+    start = F.date_format("start", "yyyy-MM-dd HH:mm").alias("start")
+    shown = windows.select(start, "event_type", "n", F.round("s", 4).alias("total"), "mn", "mx", F.coalesce("late", F.lit(0)).alias("late"))
+    return rounded(shown)
+
+
+@query(
+    "streaming_decode",
+    f"""WITH {VOX64} SELECT concat('case', case_id) AS case_id, count(*) AS n, {r('sum(value)', 4)} AS total, 'ok' AS status
+    FROM vox64 WHERE case_id IN (SELECT vec_id FROM embeddings WHERE label <> 0) GROUP BY ALL
+    UNION ALL SELECT concat('case', vec_id), 0, 0.0, 'error' FROM embeddings WHERE label = 0""",
+)
+def streaming_decode(spark, sf_dir):
+    """Scan files as a stream, decoded into bricks; broken ones are quarantined, a restart adds nothing."""
+    name = F.concat(F.lit("/scans/case"), F.col("vec_id").cast("string"), F.lit("-t1n.nii.gz"))
+    vectors = b.table(spark, sf_dir, "embeddings")
+    files = volumes.encode_files(vectors, name, "embedding", (4, 4, 4)).join(vectors.select(name.alias("path"), "label"), "path")
+    content = F.when(F.col("label") == 0, F.expr("substring(content, 1, 40)")).otherwise(F.col("content"))
+    arriving = materialise(files.select("path", content.alias("content")), "arriving").inputFiles()[0].rsplit("/", 1)[0]
+    bricks, errors, progress = (new_folder(spark, p) for p in ("bricks", "errors", "progress"))
+    for _ in range(2):
+        stream = spark.readStream.schema("path string, content binary").option("maxFilesPerTrigger", 3).parquet(arriving)
+        jobs.decoding_ingest(stream, bricks, errors, progress, size=(3, 3, 3))
+    case = ids.case_of(F.col("path")).alias("case_id")
+    total = F.aggregate(F.transform("values", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    good = spark.read.parquet(bricks).groupBy(case).agg(F.sum(F.size("values")).alias("n"), F.round(F.sum(total), 4).alias("total"))
+    failed = spark.read.parquet(errors).select(case, F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), "status")
+    return rounded(good.withColumn("status", F.lit("ok")).unionByName(failed))
+
+
 @query(
     "streaming_sessions",
     f"""WITH {SESSIONS_SQL} SELECT patient AS user_id, strftime(started, '%Y-%m-%d %H:%M') AS start, n, {r('total', 4)} AS total

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from voxelarium import bindings as b
 from voxelarium.conventions import REGION_PRESETS
 from voxelarium.functions import ids
-from voxelarium.operators import components, longitudinal
+from voxelarium.operators import components, longitudinal, tiling
 from voxelarium.operators import voxels as v
 from voxelarium.plans.registry import VOX, VOX64, query, r, rounded
 from voxelarium.sinks import tables as sinks
@@ -191,6 +191,30 @@ def center_pad(spark, sf_dir):
     return rounded(v.center_pad(b.vox64(spark, sf_dir), CUBE, (6, 6, 6)))
 
 
+def _checked(bricks, *keys):
+    """Size, sum and a sum weighted by place: equal only if the arrays are, in order."""
+    v = F.transform("values", lambda x: x.cast("double"))
+    weighted = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return rounded(bricks.select(*keys, F.size("values").alias("n"), total.alias("total"), weighted.alias("weighted")), 5)
+
+
+@query(
+    "padded_bricks",
+    f"""WITH {VOX64}, g AS (SELECT CAST(i // 36 AS INTEGER) AS x, CAST(i // 6 % 6 AS INTEGER) AS y,
+      CAST(i % 6 AS INTEGER) AS z FROM (SELECT unnest(range(216)) AS i)),
+    c AS (SELECT DISTINCT case_id FROM vox64),
+    p AS (SELECT c.case_id, g.x // 4 AS bx, g.y // 4 AS "by", g.z // 4 AS bz, coalesce(v.value, 0) AS value,
+      ((g.x % 4) * least(4, 6 - g.y // 4 * 4) + g.y % 4) * least(4, 6 - g.z // 4 * 4) + g.z % 4 + 1 AS place
+      FROM c CROSS JOIN g LEFT JOIN vox64 v ON v.case_id = c.case_id AND v.x + 1 = g.x AND v.y + 1 = g.y AND v.z + 1 = g.z)
+    SELECT case_id, CAST(bx AS INTEGER) AS bx, CAST("by" AS INTEGER) AS "by", CAST(bz AS INTEGER) AS bz, CAST(count(*) AS INTEGER) AS n,
+      {r('sum(value)', 5)} AS total, {r('sum(value * place)', 5)} AS weighted FROM p GROUP BY ALL""",
+)
+def padded_bricks(spark, sf_dir):
+    """Padding as arrays: slabs become cubes of another grid."""
+    return _checked(tiling.pad_bricks(b.bricks64(spark, sf_dir), CUBE, (6, 6, 6), (4, 4, 4)), "case_id", "bx", "by", "bz")
+
+
 @query(
     "channels_first",
     f"""SELECT vec_id AS case_id, CAST(p % 4 AS INTEGER) AS modality, CAST(p // 16 AS INTEGER) AS x,
@@ -212,7 +236,7 @@ FLIPS_SQL = ", ".join(
     f"WITH {VOX} SELECT case_id, modality, {FLIPS_SQL}, {r('value')} AS value FROM vox",
 )
 def random_flips(spark, sf_dir):
-    return rounded(v.random_flips(b.bricks(spark, sf_dir), SHAPE, 42))
+    return rounded(v.explode_bricks(v.random_flip_bricks(b.bricks(spark, sf_dir), SHAPE, 42)))
 
 
 @query(
@@ -298,6 +322,20 @@ def extracted_patches(spark, sf_dir):
     return rounded(v.extract_patches(bricks, boxes, 2, (2, 2, 2)))
 
 
+@query(
+    "patch_bricks",
+    f"""WITH {VOX}, {BOXES_SQL}, p AS (SELECT v.case_id, v.modality, b.patch, v.value,
+      ((v.x - b.px) * 2 + v.y - b.py) * 2 + v.z - b.pz + 1 AS place FROM vox v JOIN boxes b ON v.case_id = b.case_id
+      AND v.x >= b.px AND v.x < b.px + 2 AND v.y >= b.py AND v.y < b.py + 2 AND v.z >= b.pz AND v.z < b.pz + 2)
+    SELECT case_id, modality, patch, 8 AS n, {r('sum(value)', 5)} AS total, {r('sum(value * place)', 5)} AS weighted
+    FROM p GROUP BY ALL""",
+)
+def patch_bricks(spark, sf_dir):
+    """Random patches, each as one array."""
+    found = tiling.patch_bricks(b.bricks(spark, sf_dir), patch_offsets(spark, sf_dir), 2, (2, 2, 2))
+    return _checked(found, "case_id", "modality", "patch")
+
+
 COMPONENTS_SQL = f"""RECURSIVE {VOX64}, n AS (SELECT case_id, x * 16 + y * 4 + z AS node, x, y, z FROM vox64 WHERE value > 0),
     e AS (SELECT a.case_id, a.node AS a, b.node AS b FROM n a JOIN n b ON a.case_id = b.case_id
       AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1),

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxelarium.sinks.tables import append_labels, quarantine
+from voxelarium.sources.volumes import decode_volumes
 
 LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -105,6 +106,91 @@ def write_closed_windows(windows: DataFrame, sink: str, checkpoint: str) -> None
         run_to_end(windows.writeStream.outputMode("append").format("parquet").option("path", sink), checkpoint)
 
 
+def updating_moments(
+    events: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    value: str,
+    width: str,
+    folder: str,
+    checkpoint: str,
+    lateness: str = "1 hour",
+) -> None:
+    """Keep moments of every window, open ones too, up to date after each batch; late rows go to a table of their own.
+
+    A batch adds its accumulators per window and key, ``current_windows`` merges them, so no
+    window is rewritten and a hot one is a few rows a batch.  A row is late if it is more
+    than ``lateness`` older than the newest of all earlier batches.  Every batch writes
+    folders of its own number, again if it is repeated after a failure, and takes the newest
+    time from earlier numbers only: a repeated batch decides and counts the same.
+    """
+    spark = events.sparkSession
+
+    def newest_before(number: int) -> Column:
+        path = f"{folder}/newest"
+        if number == 0:
+            return F.lit(None).cast("timestamp")
+        marks = spark.read.schema("batch long, newest timestamp").parquet(path)
+        return F.lit(marks.where(F.col("batch") < number).agg(F.max("newest")).first()[0]).cast("timestamp")
+
+    def written(rows: DataFrame, name: str, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+    def store(batch: DataFrame, number: int) -> None:
+        stamped = batch.withColumn(ts, F.col(ts).cast("timestamp"))
+        edge = newest_before(number) - F.expr(f"INTERVAL {lateness}")
+        late = F.coalesce(F.col(ts) < edge, F.lit(False))
+        written(stamped.where(late), "late", number)
+        v = F.col(value)
+        sums = (
+            stamped.where(~late).groupBy(F.window(ts, width), *keys)
+            .agg(F.sum(v).alias("s"), F.sum(v * v).alias("s2"), F.count(v).alias("n"), F.count_if(v > 0).alias("npos"), F.min(v).alias("mn"), F.max(v).alias("mx"))
+            .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "s", "s2", "n", "npos", "mn", "mx")
+        )
+        written(sums, "windows", number)
+        written(stamped.agg(F.max(ts).alias("newest")), "newest", number)
+
+    run_to_end(events.writeStream.foreachBatch(store), checkpoint)
+
+
+def current_windows(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
+    """One row per window and key: the merged accumulators of all batches so far."""
+    parts = spark.read.parquet(f"{folder}/windows").drop("batch")
+    sums = [F.sum(c).alias(c) for c in ("s", "s2", "n", "npos")]
+    return parts.groupBy("start", "end", *keys).agg(*sums, F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+
+
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that came too late, with the batch they came in."""
+    return spark.read.parquet(f"{folder}/late")
+
+
+def decoding_ingest(files: DataFrame, bricks_path: str, errors_path: str, checkpoint: str, **decoding) -> None:
+    """Decode scan files of a stream (``path, content``), store bricks and quarantine files that fail.
+
+    Each batch writes folders of its own number, again if it is repeated, so a restart adds
+    nothing.  Files are decoded twice, once for each table, rather than held on executors.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        decoded = decode_volumes(batch.select("path", "content"), **decoding)
+        good = decoded.where("status = 'ok'").drop("status", "error")
+        good.write.mode("overwrite").parquet(f"{bricks_path}/batch={number}")
+        failed = decoded.where("status <> 'ok'").select("path", "status", "error")
+        failed.write.mode("overwrite").parquet(f"{errors_path}/batch={number}")
+
+    run_to_end(files.writeStream.foreachBatch(store), checkpoint)
+
+
+def read_scans(spark: SparkSession, folder: str, pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
+    """Stream of the scan files that appear below a folder."""
+    reader = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return reader.schema(schema).load(folder)
+
+
 class _PatienceState(StatefulProcessor):
     """Best value and epochs since it, per run."""
 
