@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import inspect
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -50,6 +52,44 @@ def free_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
+def carried(df: DataFrame, used: list[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` on ``df`` while all columns but ``used`` travel under other names.
+
+    Columns are told apart by place, so any name will do: letters of another case, dots,
+    backticks.  A used column is the one of exactly that name, else one that differs in case.
+    Columns that ``step`` adds replace those of the same name, in any case.
+    """
+    hidden = {}
+    for name in used:
+        at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if at:
+            hidden[at[0]] = name
+    names = [hidden.get(i, f"carried_{i}") for i in range(len(df.columns))]
+    back = dict(zip(names, df.columns))
+    out = step(df.toDF(*names))
+    added = {c.lower() for c in out.columns if c not in back}
+    kept = [c for c in out.columns if c not in back or back[c].lower() not in added]
+    return out.select(*kept).toDF(*[back.get(c, c) for c in kept])
+
+
+def carries(*parameters: str):
+    """For operators on a first ``DataFrame``: only the columns named by these parameters keep their names inside."""
+
+    def decorate(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @wraps(operator)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            bound = signature.bind(df, *args, **kwargs)
+            bound.apply_defaults()
+            used = [bound.arguments[p] for p in parameters]
+            return carried(df, used, lambda rows: operator(rows, *args, **kwargs))
+
+        return run
+
+    return decorate
+
+
 def with_result(df: DataFrame, **columns: Column) -> DataFrame:
     """Set result columns; an input column of the same name (in any case) gives way."""
     clash = {c.lower() for c in columns}

@@ -24,7 +24,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelarium.llm.common import UPPER, free_name, text_or_empty, with_result
+from voxelarium.llm.common import UPPER, carries, free_name, text_or_empty, with_result
 from voxelarium.storage import materialise
 
 #: Words of a window, and the share of hit words (as a fraction) that makes a document contaminated.
@@ -240,6 +240,7 @@ def without_spans(text: Column, spans: Column) -> Column:
     return F.array_join(pieces, "")
 
 
+@carries("text_column")
 def decontaminate(
     docs: DataFrame,
     items: DataFrame,

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelarium.llm.common import text_or_empty, with_result
+from voxelarium.llm.common import carries, text_or_empty, with_result
 
 SEED = 7
 #: Percent of the texts that are rewritten, and percent of those whose suffix comes first.
@@ -92,6 +92,7 @@ def _cuts(text: Column, one: Column, other: Column) -> Column:
     return cut(text, one, other)
 
 
+@carries("id_column", "text_column")
 def transform(
     docs: DataFrame,
     seed: int = SEED,

@@ -34,6 +34,8 @@ IMPLIED_END = {
     "option": (("option",), ("select",)),
 }
 _ROOT = 0
+#: Numeric references that may be too long for a number.
+_LONG = re.compile(r"&#(?:([0-9]{8,})|[xX]([0-9a-fA-F]{8,}));?")
 
 
 @dataclass(slots=True)
@@ -42,7 +44,12 @@ class Node:
     path: int  # digest of the tags and classes from the root to here
     parent: Node | None
     attributes: dict[str, str]
+    depth: int
     style: int = 0  # digest of the children's tags in order
+    block: Node = field(init=False)  # the nearest block element, itself included; the root if none
+
+    def __post_init__(self) -> None:
+        self.block = self if self.parent is None or self.tag in BLOCK else self.parent.block
 
 
 @dataclass(slots=True)
@@ -53,12 +60,22 @@ class Block:
     link_chars: int = 0
 
     def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
+        return " ".join(unescaped("".join(self.parts)).split())
+
+
+def unescaped(text: str) -> str:
+    """Character references resolved; a number beyond all code points, however long, is U+FFFD."""
+
+    def shorter(m: re.Match) -> str:
+        digits = (m[1] or m[2]).lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{'' if m[1] else 'x'}{digits};"
+
+    return html.unescape(_LONG.sub(shorter, text))
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {
-        (m[1] or m[5]).lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)
+        (m[1] or m[5]).lower(): unescaped(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)
     } if source.strip(" /\n\t") else {}
 
 
@@ -71,8 +88,8 @@ def parse(source: str) -> list[Block]:
 
     End tags close what is open inside their element; those without a start are ignored.
     """
-    node = Node("", _ROOT, None, {})
-    open_tags: dict[str, int] = {}
+    node = Node("", _ROOT, None, {}, 0)
+    open_tags: dict[str, list[Node]] = {}  # open elements of each kind, the innermost last
     blocks: list[Block] = []
     block: Block | None = None
     links = at = 0
@@ -80,10 +97,13 @@ def parse(source: str) -> list[Block]:
     def leave(until: Node) -> None:
         nonlocal node, links
         while node is not until:
-            open_tags[node.tag] -= 1
+            open_tags[node.tag].pop()
             links -= node.tag == "a"
             node = node.parent
 
+    def innermost(tags: tuple[str, ...]) -> Node | None:
+        return max((open_tags[t][-1] for t in tags if open_tags.get(t)), key=lambda n: n.depth, default=None)
+
     def text(part: str) -> None:
         nonlocal block
         if not part:
@@ -91,10 +111,7 @@ def parse(source: str) -> list[Block]:
         if block is None:
             if part.isspace():
                 return
-            owner = node
-            while owner.tag not in BLOCK and owner.parent:
-                owner = owner.parent
-            block = Block(owner)
+            block = Block(node.block)
             blocks.append(block)
         block.parts.append(part)
         size = len(part.strip())
@@ -113,10 +130,7 @@ def parse(source: str) -> list[Block]:
             if tag in BLOCK:
                 block = None
             if open_tags.get(tag):
-                target = node
-                while target.tag != tag:
-                    target = target.parent
-                leave(target.parent)
+                leave(open_tags[tag][-1].parent)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
@@ -128,24 +142,18 @@ def parse(source: str) -> list[Block]:
         if tag in BLOCK:
             block = None
             if open_tags.get("p"):
-                target = node
-                while target.tag != "p":
-                    target = target.parent
-                leave(target.parent)
+                leave(open_tags["p"][-1].parent)
             closes, container = IMPLIED_END.get(tag, ((), ()))
-            target = node
-            while target.parent and target.tag not in container:
-                if target.tag in closes:
-                    leave(target.parent)
-                    break
-                target = target.parent
+            ended, around = innermost(closes), innermost(container)
+            if ended is not None and (around is None or ended.depth > around.depth):
+                leave(ended.parent)
         node.style = _digest(tag, node.style)
         if tag in VOID:
             continue
         attributes = _attributes(m["attributes"])
         name = f"{tag}.{'.'.join(attributes.get('class', '').lower().split())}"
-        node = Node(tag, _digest(name, node.path), node, attributes)
-        open_tags[tag] = open_tags.get(tag, 0) + 1
+        node = Node(tag, _digest(name, node.path), node, attributes, node.depth + 1)
+        open_tags.setdefault(tag, []).append(node)
         links += tag == "a"
     text(source[at:])
     return blocks

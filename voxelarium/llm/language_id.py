@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
-A language's n-grams are those with at least ``1 / MAX_GRAMS`` of its n-gram occurrences,
-hence at most ``MAX_GRAMS`` a language.  All languages share one Bloom filter in bit-sliced
+A language's n-grams are its ``MAX_GRAMS`` most frequent ones, whatever their share, so that
+scripts with flat n-grams are known as well.  All languages share one Bloom filter in bit-sliced
 form: each cell is a mask with a bit per language, an n-gram sets its language's bit in
 ``PROBES`` cells, and a lookup ANDs those cells, which answers for all languages at once.
 The filter's size follows from the number of n-grams and is bounded by languages times
@@ -12,9 +12,11 @@ corrected for its false-positive rate (the share of set cells to the power ``PRO
 The language with the largest corrected count wins, and the score is that count's share of
 all n-grams.
 
-The filter is fitted on a sample of labelled documents bounded by ``SAMPLE`` in
-expectation; the sample is drawn evenly by a hash of the id.  Everything else reads all
-documents and whole texts.
+The filter is fitted on a sample of labelled documents: all of a language that has up to
+``SAMPLE``, of others that many in expectation, drawn evenly by a hash of the id.  So a rare
+language is learned from all its documents.  The label is taken to be a language column:
+its different values are listed on the driver.  Everything else reads all documents and
+whole texts.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; if no
 n-gram is known the most frequent learned language is given with score 0; equal counts go
@@ -33,13 +35,13 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxelarium.llm.common import free_name, text_or_empty, with_result
+from voxelarium.llm.common import carries, free_name, text_or_empty, with_result
 from voxelarium.storage import materialise
 
-#: Expected labelled documents to fit on, n-grams per language, n, probes and cells per n-gram.
-SAMPLE = 20_000
+#: Labelled documents of a language to fit on, n-grams per language, n, probes and cells per n-gram.
+SAMPLE = 5_000
 MAX_GRAMS = 20_000
 SIZES = (3, 4)
 PROBES = 3
@@ -133,13 +135,13 @@ def held_out(row_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, text_column: str, label_column: str, draw: Column, sample: int) -> LanguageFilter:
-    """Fit on about ``sample`` of the labelled ``docs``, chosen by the number ``draw`` below 2^30."""
+    """Fit on about ``sample`` labelled ``docs`` of each language, chosen by the number ``draw`` below 2^30."""
     labelled = docs.filter(F.col(label_column).isNotNull() & F.col(text_column).isNotNull()).select(
         F.col(label_column).cast("string").alias("language"), F.col(text_column).alias("text"), draw.alias("draw")
     )
-    sizes = {r["language"]: r["n"] for r in labelled.groupBy("language").agg(F.count("*").alias("n")).collect()}
+    counted_rows = materialise(labelled.groupBy("language").agg(F.count("*").alias("size")), "language-sizes")
+    sizes = {r["language"]: r["size"] for r in counted_rows.collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    share = min(1.0, sample / max(1, sum(sizes.values())))
 
     def counts(language: str, hashes: list[np.ndarray]) -> pa.RecordBatch:
         values, n = np.unique(np.concatenate(hashes), return_counts=True)
@@ -160,22 +162,25 @@ def fit(docs: DataFrame, text_column: str, label_column: str, draw: Column, samp
         yield from (counts(*x) for x in seen.items())
 
     counted = materialise(
-        labelled.filter(F.col("draw") < int(share * _DRAWS))
+        labelled.join(counted_rows, "language")
+        .filter(F.col("draw") * F.col("size") < sample * _DRAWS)
         .select("language", "text")
         .mapInArrow(grams, "language string, gram long, n long")
         .groupBy("language", "gram")
         .agg(F.sum("n").alias("n")),
         "language-grams",
     )
-    totals = counted.groupBy("language").agg(F.sum("n").alias("total"))
-    # At most MAX_GRAMS rows a language, as each holds that share of the occurrences.
-    rows = counted.join(totals, "language").filter(F.col("n") * MAX_GRAMS >= F.col("total")).select("language", "gram").collect()
+    # A window holds the different n-grams of one language's sample; ties go by the n-gram's hash.
+    order = Window.partitionBy("language").orderBy(F.desc("n"), "gram")
+    ranked = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MAX_GRAMS)
+    rows = ranked.select("language", "gram").collect()
     found: dict[str, list[int]] = {}
     for r in rows:
         found.setdefault(r["language"], []).append(r["gram"])
     return LanguageFilter(languages, [np.array(sorted(found.get(k, [])), dtype=np.int64).view(np.uint64) for k in languages])
 
 
+@carries("id_column", "text_column", "label_column")
 def identify(
     docs: DataFrame,
     id_column: str = "doc_id",

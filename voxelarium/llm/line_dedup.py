@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelarium.llm.common import WHITE, ascii_lower, free_name, sha256, text_or_empty, with_result
+from voxelarium.llm.common import WHITE, ascii_lower, carries, free_name, sha256, text_or_empty, with_result
 from voxelarium.storage import materialise
 
 #: Documents that make a line a repeated one.
@@ -48,6 +48,7 @@ def repeated_lines(docs: DataFrame, text_column: str, min_documents: int, min_ch
     )
 
 
+@carries("text_column")
 def drop_repeated_lines(
     docs: DataFrame,
     text_column: str = "text",

@@ -36,7 +36,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelarium.llm.common import free_name, sha256, text_or_empty, with_result
+from voxelarium.llm.common import carries, free_name, sha256, text_or_empty, with_result
 from voxelarium.llm.html_tree import Block, Node, parse
 from voxelarium.storage import materialise
 
@@ -118,12 +118,18 @@ def extract(source: str, low: Iterable[int]) -> str:
     unimportant = set(low)
     blocks, _ = _judged(parse(source), unimportant)
 
-    def stays(node: Node | None) -> bool:
-        while node is not None:
-            if _signed(node.path) in unimportant:
-                return False
+    known: dict[int, bool] = {}
+
+    def stays(node: Node) -> bool:
+        """Whether no element from here to the root is unimportant; each is looked at once."""
+        chain = []
+        while node is not None and id(node) not in known:
+            chain.append(node)
             node = node.parent
-        return True
+        good = node is None or known[id(node)]
+        for n in reversed(chain):
+            good = known[id(n)] = good and _signed(n.path) not in unimportant
+        return good
 
     texts = [(b, t) for b in blocks if (t := b.text())]
     important = [t for b, t in texts if stays(b.node)] if unimportant else []
@@ -138,7 +144,7 @@ def observations(source: str) -> list[dict[str, int]]:
         found.add((path, PAGE, 0))
         found.add((path, ORDER, _signed(block.node.style)))
         found.add((path, TEXT, _signed(xxhash.xxh64_intdigest(block.text()))))
-    return [{"path": p, "kind": k, "value": v} for p, k, v in found]
+    return [{"path": p, "kind": k, "value": v} for p, k, v in sorted(found)]
 
 
 def host_of(url: Column) -> Column:
@@ -153,12 +159,13 @@ def node_importance(pages: DataFrame, url_column: str = "url", html_column: str
         return pd.Series([observations(s) for s in sources], dtype=object)
 
     rows = (
-        # One page of each content; partial aggregation combines copies before the shuffle.
+        # Pages of the same content count once: what they add moves by digest, not their source.
         pages.select(host_of(F.col(url_column)).alias("host"), text_or_empty(html_column).alias("source"))
         .filter("host <> ''")
-        .groupBy("host", sha256(F.col("source")).alias("digest"))
-        .agg(F.min("source").alias("source"))
-        .select("host", F.explode(seen("source")).alias("o"))
+        .select("host", sha256(F.col("source")).alias("digest"), seen("source").alias("seen"))
+        .groupBy("host", "digest")
+        .agg(F.first("seen").alias("seen"))
+        .select("host", F.explode("seen").alias("o"))
         .select("host", "o.*")
     )
     counted = rows.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"))
@@ -182,6 +189,7 @@ def node_importance(pages: DataFrame, url_column: str = "url", html_column: str
     )
 
 
+@carries("url_column", "html_column")
 def main_text(
     pages: DataFrame, url_column: str = "url", html_column: str = "html", min_importance: float = MIN_IMPORTANCE
 ) -> DataFrame:

@@ -21,7 +21,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxelarium.llm.common import text_or_empty, with_result
+from voxelarium.llm.common import carries, text_or_empty, with_result
 from voxelarium.llm.guess_cost import guess_bits, word_ranks
 from voxelarium.llm.tokens import default_path
 
@@ -64,6 +64,7 @@ def find_secrets(text: str, ranks: dict[str, int]) -> list[tuple[str, int, int,
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+@carries("text_column")
 def scan_secrets(docs: DataFrame, vocabulary: str | None = None, text_column: str = "text") -> DataFrame:
     """``docs`` with ``secrets``: an array of kind, start, end and guess bits."""
     path = vocabulary or default_path("word_bpe_49k.json")

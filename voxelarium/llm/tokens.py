@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from voxelarium.llm.common import text_or_empty, with_result
+from voxelarium.llm.common import carries, text_or_empty, with_result
 
 #: Tokens over which a text is marked.
 LIMIT = 512
@@ -190,6 +190,7 @@ class TokenCounter(PreTokens):
 _OPEN: dict[str, TokenCounter] = {}
 
 
+@carries("text_column")
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, text_column: str = "text") -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit``."""
     path = path or default_path("byte_bpe_50k.json")

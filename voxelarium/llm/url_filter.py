@@ -7,7 +7,7 @@ whole segments; letter case counts in the path only.  Every capture asks for the
 entries that were active on the day it was fetched.
 
 The as-of join is an equi-join: time is cut into periods, an interval becomes a row for
-each period that it overlaps between the first and the last capture, and a capture looks
+each period that it overlaps and in which a capture asks for its key, and a capture looks
 only into its own.  A key with a long history, or a host with most captures, is thereby
 spread over the periods, and what is left of the skew is split by the join itself.  The
 decision depends on URL and day alone, so captures are reduced to distinct pairs first and
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxelarium.llm.common import free_name, with_result
+from voxelarium.llm.common import carries, free_name, with_result
 from voxelarium.storage import materialise
 
 #: Days of a period of the as-of join.
@@ -91,19 +91,16 @@ def decisions(visits: DataFrame, entries: DataFrame, period: int = PERIOD) -> Da
     """For ``url, day`` with an active entry: ``lists``, ``rule`` and ``blocked``."""
     intervals = materialise(validity(entries), "list-intervals")
     depth = intervals.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
-    ends = visits.agg(F.min("day"), F.max("day")).first()
-    first, last = (0, -1) if ends[0] is None else ends
-    known = intervals.filter((F.col("end") > first) & (F.col("start") <= last))
-    number = F.sequence(
-        F.floor(F.greatest("start", F.lit(first)) / period), F.floor((F.least("end", F.lit(last + 1)) - 1) / period)
-    )
-    active = materialise(known.withColumn("period", F.explode(number)), "list-periods")
     asked = visits.select(
         "url",
         "day",
         F.floor(F.col("day") / period).alias("period"),
         F.explode(matching_keys(url_host(F.col("url")), url_segments(F.col("url")), depth)).alias("key"),
     )
+    # An interval is told only to the periods in which some capture asks for its key.
+    periods = asked.select("key", "period").distinct()
+    overlaps = (F.floor(F.col("start") / period) <= F.col("period")) & (F.col("period") <= F.floor((F.col("end") - 1) / period))
+    active = materialise(intervals.join(periods, "key").filter(overlaps), "list-periods")
     now = (F.col("start") <= F.col("day")) & (F.col("day") < F.col("end"))
     best = F.max(F.struct(F.char_length("key").alias("size"), "allow", "key"))
     return (
@@ -115,6 +112,7 @@ def decisions(visits: DataFrame, entries: DataFrame, period: int = PERIOD) -> Da
     )
 
 
+@carries("url_column", "fetched_column")
 def filter_urls(
     captures: DataFrame,
     entries: DataFrame,
