@@ -6,10 +6,10 @@ walks the arrays at a shift between their indices.  While tokens agree one to on
 stays and slices of doubling length are compared at once, then of halving length where they
 differ; an irregular group is resolved token by token, which moves the shift.
 
-Tokens themselves are remembered by stretch: white space and what follows it up to the next,
-with signs behind a word on their own.  The first tokenizer's pattern never joins across
-these edges.  Which of the second one's pieces do is read from its vocabulary when a worker
-opens it; texts that hold such a piece's text are cut less, or encoded whole.
+The first tokenizer's merges are applied by a byte-level library that takes ranks: its file
+qualifies if every merge makes the next id, which is proven when a worker opens it.  Texts
+with characters whose class the libraries may see differently, or with very long unbroken
+stretches, go to the tokenizer itself, as do all texts of a file that does not qualify.
 
 Documents keep their different id pairs with the number of links, so that nothing is
 tokenized twice.  The pairs are counted by documents, then looked up: those of most documents
@@ -26,20 +26,19 @@ give no rows.  A group of very many tokens is linked through counts of its diffe
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from array import array
 from collections.abc import Iterator
-from operator import itemgetter
-from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from voxelarium.llm.common import text_or_empty
-from voxelarium.llm.tokens import BYTE_PATTERN, Memo, PreTokens, byte_alphabet, default_path
+from voxelarium.llm.tokens import BYTE_PATTERN, PreTokens, byte_alphabet, default_path
 from voxelarium.storage import materialise
 
 #: Most pairs whose counts are broadcast, 24 bytes each.
@@ -48,12 +47,9 @@ HOT = 1 << 18
 BLOCK = 1 << 20
 
 BLANK = "▁"
-#: Signs at which a stretch is cut behind a word.
-SIGNS = ".,;:!?"
-_STRETCHES = re.compile(r"\s+\S+|\s+\Z").findall
-_CUT = re.compile(rf"\s+(?:[^\W\d_]++(?:(?=[{SIGNS}])|\S*)|\S+|\Z)|[{SIGNS}]\S*").findall
-#: White space to ``re`` but not to the tokenizers, or the other way round: texts with it are encoded whole.
-DUBIOUS = "\x1c-\x1f\u180e"
+#: Characters without, or of nothing but, white space from which on the tokenizer itself is used: its time is not quadratic in them.
+LONG = 400
+_LONG = re.compile(rf"\S{{{LONG}}}|\s{{{LONG}}}").search
 
 ALIGNED = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -151,22 +147,28 @@ def linked_pairs(
     return _summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
 
 
-class BytePairs(PreTokens):
+class BytePairs:
     """The first tokenizer; special strings are plain text."""
 
     def __init__(self, path: str):
-        super().__init__(path, BYTE_PATTERN, base={})
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         byte = {c: b for b, c in enumerate(byte_alphabet())}
-        entries = {i: s for s, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
-        self.bytes = [bytes(byte[c] for c in entries.get(i, "")) for i in range(max(entries) + 1)]
-
-    def value(self, ids: list[int]) -> list[int]:
-        return ids
+        entries = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = [b""] * (max(entries.values()) + 1)
+        for shown, i in entries.items():
+            self.bytes[i] = bytes(map(byte.__getitem__, shown))
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        ranked = len(merges) + 256
+        proven = all(entries.get(m) == 256 + k for k, m in enumerate(merges)) and not model.get("dropout")
+        ranks = {self.bytes[i]: i for i in range(min(ranked, len(self.bytes)))}
+        self.ranked = tiktoken.Encoding("ranked", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}) if proven else None
 
     def ids(self, text: str) -> list[int]:
-        if self.safe(text):
-            return [i for p in self.find(text) for i in self.piece(p)]
+        if self.ranked is not None and PreTokens.safe(text) and not _LONG(text):
+            return self.ranked.encode_ordinary(text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -179,67 +181,30 @@ class Pieces:
         self.bytes = [
             bytes([int(s[1:-1], 16)]) if self.model.is_byte(i) else s.replace(BLANK, " ").encode() for i, s in enumerate(shown)
         ]
-        self.blank = self.model.piece_to_id(BLANK)
-        # White space that some piece holds behind a visible character or a blank.
-        joined = {c for s in shown for c in re.findall(rf"(?:[^\s{BLANK}](?=([\s{BLANK}]))|{BLANK}(?=(\s)))", s) for c in c if c}
-        #: Texts with these are encoded whole; if a blank is one of them, all texts.
-        self.joined = "".join(sorted(joined)).replace(BLANK, " ")
-        #: Pieces that join a word with a sign, and a letter that none joins with one.
-        self.crossing = [s.replace(BLANK, " ") for s in shown if re.search(rf"[^\W\d_][{SIGNS}]", s)]
-        free = [c for c in ascii_lowercase if BLANK + c in shown and not any(c in s for s in self.crossing)]
-        self.letter = free[0] if free else None
-
-    def cuts(self, text: str) -> bool:
-        """Whether words and the signs behind them stand apart in ``text``."""
-        return self.letter is not None and not any(s in text for s in self.crossing)
-
-    def ids(self, text: str) -> list[int]:
-        """Ids of a text that starts with white space or a sign."""
-        if text[0] in SIGNS:
-            return self.model.encode(self.letter + text)[1:]
-        if text == " ":
-            return [self.blank]
-        if text[0] == " ":
-            return self.model.encode(text[1:])
-        return self.model.encode(text)[1:]
 
 
 class Aligner:
-    """Both tokenizers of a worker and what they made of the stretches met so far."""
+    """Both tokenizers of a worker."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = BytePairs(path_a), Pieces(path_b)
         self.length_a = np.array(list(map(len, self.a.bytes)))
         self.length_b = np.array(list(map(len, self.b.bytes)))
         self.bits = (len(self.b.bytes) - 1).bit_length()
-        self.of_stretch = Memo(self._stretch)
-        self.whole = re.compile(f"[{DUBIOUS}{re.escape(self.b.joined)}]").search
         # Each id with the sign that follows it: inside a side, at its end.
         self.shown = [f"{i}{end}" for i in range(len(self.a.bytes)) for end in ",|"]
         self.shown += [f"{i}{end}" for i in range(len(self.b.bytes)) for end in ",;"]
 
-    def _stretch(self, text: str) -> tuple[bytes, bytes, bool]:
-        a, b = self.a.ids(text), self.b.ids(text)
-        same = b"".join(map(self.a.bytes.__getitem__, a)) == b"".join(map(self.b.bytes.__getitem__, b)) == text.encode()
-        return array("I", a).tobytes(), array("I", b).tobytes(), same
-
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a blank and ``text``; empty if one side's bytes differ from those."""
+        none = np.empty(0, np.int64)
         if not text:
-            return np.empty(0, np.uint32), np.empty(0, np.uint32)
-        text = " " + text
-        if not self.whole(text):
-            parts = list(map(self.of_stretch.__getitem__, (_CUT if self.b.cuts(text) else _STRETCHES)(text)))
-            a, b = (np.frombuffer(b"".join(map(itemgetter(i), parts)), np.uint32) for i in (0, 1))
-            same = all(map(itemgetter(2), parts))
-        else:
-            a, b = (np.array(side.ids(text), np.uint32) for side in (self.a, self.b))
-            same = False
-        if not same:  # stretches may differ where the wholes agree
-            parts = (b"".join(map(side.bytes.__getitem__, x.tolist())) for side, x in ((self.a, a), (self.b, b)))
-            if any(part != text.encode() for part in parts):
-                return a[:0], b[:0]
-        return a, b
+            return none, none
+        a, b = self.a.ids(" " + text), self.b.model.encode(text)
+        want = (" " + text).encode()
+        if b"".join(map(self.a.bytes.__getitem__, a)) != want or b"".join(map(self.b.bytes.__getitem__, b)) != want:
+            return none, none
+        return np.array(a, np.int64), np.array(b, np.int64)
 
     def align(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of both sides and the groups' ends in each."""
@@ -251,7 +216,7 @@ class Aligner:
         """The groups as text: ``a1,a2|b1;a3|b2,b3``."""
         sizes_a, sizes_b = np.diff(in_a, prepend=0), np.diff(in_b, prepend=0)
         signs = np.empty(len(a) + len(b), np.int64)
-        code_a, code_b = 2 * a.astype(np.int64), 2 * (b.astype(np.int64) + len(self.a.bytes))
+        code_a, code_b = 2 * a, 2 * (b + len(self.a.bytes))
         code_a[in_a - 1] += 1
         code_b[in_b - 1] += 1
         signs[np.arange(len(a)) + np.repeat(in_b - sizes_b, sizes_a)] = code_a
