@@ -35,6 +35,12 @@ def vox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_bricks(bricks(spark, sf_dir))
 
 
+def with_incomplete(rows: DataFrame, modality: int) -> DataFrame:
+    """All ``rows``, and a copy of each case under a negative id without ``modality``."""
+    copies = rows.where(F.col("modality") != modality).withColumn("case_id", -1 - F.col("case_id"))
+    return rows.unionByName(copies)
+
+
 def bricks64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 4x4x4 volume per case as four bricks of 1x4x4 (slabs along x)."""
     part = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part")

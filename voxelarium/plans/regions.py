@@ -175,19 +175,20 @@ def labels_per_mask(spark, sf_dir):
 
 @query(
     "case_metadata",
-    f"""WITH {VOX}, {LABELS_SQL}, {MASK_LABELS_SQL}, have AS (SELECT * FROM vox WHERE modality <> 2 OR case_id % 3 <> 0),
+    f"""WITH {VOX}, {LABELS_SQL}, {MASK_LABELS_SQL}, have AS (SELECT * FROM vox
+      UNION ALL SELECT * REPLACE (-1 - case_id AS case_id) FROM vox WHERE modality <> 2),
     m AS (SELECT case_id, {", ".join(
         f"count(*) FILTER (modality = {i}) AS n_{i}, {r(f'coalesce(avg(value) FILTER (modality = {i}), 0)')} AS mean_{i}, "
         f"{r(f'coalesce(stddev_pop(value) FILTER (modality = {i}), 0)')} AS std_{i}" for i in range(4)
-    )}, CASE WHEN case_id % 3 = 0 THEN '2' ELSE '' END AS missing FROM have GROUP BY case_id)
+    )}, CASE WHEN case_id < 0 THEN '2' ELSE '' END AS missing FROM have GROUP BY case_id)
     SELECT m.*, coalesce(labels, '') AS labels, coalesce(n_labels, 0) AS n_labels,
       CASE WHEN labels IS NULL THEN -1 ELSE et_volume END AS et_volume, CASE WHEN labels IS NULL THEN -1 ELSE tc_volume END AS tc_volume,
       CASE WHEN labels IS NULL THEN -1 ELSE wt_volume END AS wt_volume
     FROM m LEFT JOIN masks USING (case_id) LEFT JOIN derived USING (case_id)""",
 )
 def case_metadata(spark, sf_dir):
-    """Every third case lacks a modality; cases without a mask have -1 volumes."""
-    vox = b.vox(spark, sf_dir).where("modality <> 2 OR case_id % 3 <> 0")
+    """All cases, and a copy of each under a negative id that lacks a modality; cases without a mask have -1 volumes."""
+    vox = b.with_incomplete(b.vox(spark, sf_dir), 2)
     found = regions.case_metadata(vox, b.seg(spark, sf_dir), range(4))
     absent = {**{f"{k}_{i}": 0.0 for k in ("mean", "std") for i in range(4)}, "labels": "", "n_labels": 0}
     return rounded(found.fillna(absent).fillna(-1.0, ["et_volume", "tc_volume", "wt_volume"]))

@@ -133,13 +133,14 @@ def normalised_range(spark, sf_dir):
 
 @query(
     "unmasked_volumes",
-    f"""WITH {VOX}, have AS (SELECT * FROM vox WHERE modality <> 1 OR case_id % 7 <> 0),
+    f"""WITH {VOX}, have AS (SELECT * FROM vox
+      UNION ALL SELECT * REPLACE (-1 - case_id AS case_id) FROM vox WHERE modality <> 1),
     ok AS (SELECT DISTINCT case_id FROM have WHERE modality = 1 AND value > 0.2)
     SELECT DISTINCT case_id, modality FROM have WHERE case_id NOT IN (SELECT case_id FROM ok)""",
 )
 def unmasked_volumes(spark, sf_dir):
-    """Every seventh case lacks the modality of the mask."""
-    bricks = b.bricks(spark, sf_dir).where("modality <> 1 OR case_id % 7 <> 0")
+    """All cases, and a copy of each under a negative id that lacks the modality of the mask."""
+    bricks = b.with_incomplete(b.bricks(spark, sf_dir), 1)
     return v.unmasked_volumes(bricks, v.mask_bricks(bricks, 1, 0.2))
 
 
@@ -373,16 +374,13 @@ def brain_masks(spark, sf_dir):
       FROM inside JOIN p USING (case_id) GROUP BY case_id),
     z AS (SELECT case_id, x, y, v.z AS z, (least(value, p) - mean) / sd AS value FROM vox64 v JOIN st USING (case_id)),
     s AS (SELECT case_id, max(abs(value)) + 1e-8::DOUBLE AS s FROM z GROUP BY case_id)
-    SELECT case_id, x, y, z, {r('value / s', 4)} AS value FROM z JOIN s USING (case_id)
-    WHERE case_id IN (SELECT case_id FROM st WHERE sd > 1e-4::DOUBLE)""",
+    SELECT case_id, x, y, z, {r('value / s', 4)} AS value FROM z JOIN s USING (case_id)""",
 )
 def preprocessed_volumes(spark, sf_dir):
-    """Mask, largest component and normalisation as one job; cases with a flat brain have no scale."""
+    """Mask, largest component and normalisation as one job; of a flat brain only the scale by the largest magnitude shows."""
     bricks = b.bricks64(spark, sf_dir)
     _, mask = components.brain_component(bricks, 0.0, CUBE)
-    normal = v.explode_bricks(v.ctn_normalize(bricks, mask)).drop("modality")
-    flat = v.explode_masked(v.apply_mask(bricks, mask)).groupBy("case_id").agg(F.stddev_pop("value").alias("sd"))
-    return rounded(normal.join(flat.where("sd > 1e-4"), "case_id", "left_semi"), 4)
+    return rounded(v.explode_bricks(v.ctn_normalize(bricks, mask)).drop("modality"), 4)
 
 
 @query(
