@@ -70,6 +70,16 @@ def test_added_spans():
     assert [(k, text[a:b]) for k, a, b, _ in find_secrets(text, RANKS) if k == "guess"] == [("guess", "x9K$mQ2vLp7z!"), ("guess", "Zr8#kQ!x91v")]
 
 
+def test_quoted_values_are_whole():
+    def guesses(text):
+        return [text[a:b] for k, a, b, _ in find_secrets(text, RANKS) if k == "guess"]
+
+    assert guesses("DB_PASSWORD='s3cr,et;Zx4Tq9LmR7'") == ["s3cr,et;Zx4Tq9LmR7"]
+    assert guesses('password = "k#9<Qv>;x2\'Lm8Zt"') == ["k#9<Qv>;x2'Lm8Zt"]
+    assert guesses("password = \"Zr8#kQ!x91vW and no end") == ["Zr8#kQ!x91vW"]
+    assert guesses('pwd: "the garden of the old house by the river"') == []
+
+
 def test_edges(make, edge):
     extra = [(60, 'é😀 token = "24be64439e3e49cf46b2d7c90f3602a3" AKIAABCDEFGHIJKLMN')]
     got = secret_spans(edge.unionByName(make(extra))).collect()

@@ -36,7 +36,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CONTEXT = re.compile(
     r"(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|auth)[_-]?key)"
-    r"[\"'\])]{0,2}\x20{0,4}(?:=>|:=|[:=])\x20{0,4}[\"']?(?P<value>[^\s\"'<>,;]+)"
+    r"[\"'\])]{0,2}\x20{0,4}(?:=>|:=|[:=])\x20{0,4}"
+    # In quotes a value goes to the closing one and may hold any other sign but white space.
+    r"(?:\"(?P<double>[^\s\"]+)\"|'(?P<single>[^\s']+)'|[\"']?(?P<value>[^\s\"'<>,;]+))"
     r"|://[^\s/:@\"'<>]+:(?P<login>[^\s/@\"'<>]+)@"
     r"|(?ai:bearer)\x20(?P<bearer>[A-Za-z0-9+/_.=~-]+)"
 )
