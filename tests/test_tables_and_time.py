@@ -124,3 +124,14 @@ def test_as_of_equals_a_search(spark):
         got = [(r.i, r.v, r.measured_at) for r in longitudinal.as_of(a, m, "p", "t", "v", period).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert longitudinal.as_of(a.limit(0), m, "p", "t", "v").count() == 0
+
+
+def test_equal_days_do_not_grow_by_the_order_of_rows(spark):
+    """In order of the key 0.3 + 0.2 + 0.1 is 0.6, the other way round a bit more."""
+    rows = [(1, 1, 0, 0.6), (1, 2, 3, 0.1), (1, 2, 2, 0.2), (1, 2, 1, 0.3), (2, 1, 4, None), (2, 2, 5, 1.0), (2, 2, 6, None)]
+    scans = spark.createDataFrame([(p, dt.date(2024, 1, d), k, v) for p, d, k, v in rows], "patient int, day date, key int, value double")
+    assert (0.1 + 0.2) + 0.3 > 0.6
+    for scans in (scans.coalesce(1), scans.repartition(7)):
+        daily = longitudinal.daily_volumes(scans, "key")
+        found = longitudinal.doubling_time(daily).orderBy("patient", "day").collect()
+        assert [(r.volume, r.n, r.doubling_days) for r in found] == [(0.6, 1, None), (0.6, 3, None), (None, 1, None), (1.0, 2, None)]

@@ -66,7 +66,7 @@ def vox64(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as measurements: patient, day, weekly case, modality, value."""
+    """Events as measurements: patient, day, weekly case, modality, value and key."""
     week = F.floor((F.day("ts") - 1) / 7)
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("patient"),
@@ -74,6 +74,7 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") * 100 + week).cast("bigint").alias("case_id"),
         F.col("event_type").alias("modality"),
         "value",
+        "event_id",
     )
 
 

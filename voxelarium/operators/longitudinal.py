@@ -15,8 +15,17 @@ from voxelarium.operators.voxels import AXES, BRICK_SHAPE, voxel_position
 from voxelarium.storage import materialise
 
 
-def daily_volumes(df: DataFrame, patient: str = "patient", value: str = "value") -> DataFrame:
-    return df.groupBy(patient, "day").agg(F.sum(value).alias("volume"), F.count(F.lit(1)).alias("n"))
+def daily_volumes(df: DataFrame, order: str, patient: str = "patient", value: str = "value") -> DataFrame:
+    """Volume and number of the measurements of each patient and day.
+
+    They are added one after the other by the key ``order``: sums of doubles that shuffles
+    put together differ in their last bit from run to run, which makes growth of days with
+    equal volumes.  A group holds one patient's measurements of one day.
+    """
+    measured = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value))))
+    total = F.aggregate(F.col("_m"), F.lit(0.0), lambda a, m: a + m[value].cast("double"))
+    grouped = df.groupBy(patient, "day").agg(measured.alias("_m"), F.count(F.lit(1)).alias("n"))
+    return grouped.select(patient, "day", F.when(F.size("_m") > 0, total).alias("volume"), "n")
 
 
 def _by_day(patient: str):

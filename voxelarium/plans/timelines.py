@@ -21,7 +21,7 @@ LAGGED_SQL = f"""{DAILY_SQL}, k AS (SELECT *, lag(volume) OVER w AS previous, la
 
 
 def _daily(spark, sf_dir):
-    return longitudinal.daily_volumes(b.scan(spark, sf_dir))
+    return longitudinal.daily_volumes(b.scan(spark, sf_dir), "event_id")
 
 
 @query(
@@ -34,7 +34,7 @@ def _daily(spark, sf_dir):
 )
 def as_of_volumes(spark, sf_dir):
     """The volume last measured (at noon, not every day) when each event happened."""
-    daily = longitudinal.daily_volumes(b.scan(spark, sf_dir)).where((F.day("day") + F.col("patient")) % 3 == 0)
+    daily = _daily(spark, sf_dir).where((F.day("day") + F.col("patient")) % 3 == 0)
     measured = daily.withColumn("ts", F.col("day").cast("timestamp") + F.expr("INTERVAL 12 HOURS"))
     asked = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("patient"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
     found = longitudinal.as_of(asked, measured, "patient", "ts", "volume")
