@@ -2,6 +2,7 @@ import numpy as np
 
 import corpus_pipeline
 from voxelarium.llm import near_copies
+from voxelarium.llm.fingerprint import simhash
 from voxelarium.llm.near_copies import keep_one, shingles, similar, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +95,15 @@ def test_comparisons_follow_the_rows(spark, make):
     finally:
         near_copies._verified = real
     assert len(seen) == near_copies.LEADS and max(seen) <= near_copies.BANDS * 120
+
+
+def test_fingerprint_trees_find_candidates(make, monkeypatch):
+    """Without any MinHash key, texts of near fingerprints are found, compared and dropped."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: [])
+    rng = np.random.default_rng(11)
+    base = texts(rng, 12, 3000)
+    rows = list(enumerate(base)) + [(100 + i, changed(rng, t, 1)) for i, t in enumerate(base)]
+    marks = [simhash(t.encode(), near_copies.SHINGLE) for _, t in rows]
+    want = [100 + i for i in range(12) if (marks[i] ^ marks[12 + i]).bit_count() > near_copies.RADIUS]
+    assert len(want) < 3
+    assert sorted(r["doc_id"] for r in keep_one(make(rows)).select("doc_id").collect()) == [*range(12), *want]
