@@ -1,6 +1,7 @@
 """From scan files on disk to cohort statistics."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,19 @@ def test_crop_and_flip_of_uneven_bricks(spark):
     cropped = voxels.crop_bricks(bricks, volume.shape, (3, 9, 4))
     np.testing.assert_allclose(dense(cropped, (3, 6, 4)), volume[2:5, :, :4])
     np.testing.assert_allclose(dense(voxels.flip_bricks(bricks, "y", 6), volume.shape), volume[:, ::-1])
+
+
+def test_small_volumes_leave_in_short_batches():
+    """Thousands of small files in one batch: as many rows of it at a time as ``OUTPUT_ROWS`` and one file allow."""
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, decode, schema):
+            return decode
+
+    content = volumes.write_nifti(np.ones((4, 4, 4), np.float32))
+    batch = pd.DataFrame({"path": [f"/a/{i}.nii.gz" for i in range(3000)], "content": [content] * 3000})
+    sizes = [len(frame) for frame in volumes.decode_volumes(Files(), size=(3, 3, 3))(iter([batch]))]
+    assert sum(sizes) == 8 * 3000 and max(sizes) <= volumes.OUTPUT_ROWS + 8

@@ -25,7 +25,9 @@ BRICK_SCHEMA = (
     "nx int, ny int, nz int, values array<float>, status string, error string"
 )
 
-OUTPUT_BYTES = 32 << 20  # decoded voxels handed back to Spark at a time
+# Decoded voxels handed back to Spark at a time, and bricks: small ones take more as rows than by their voxels.
+OUTPUT_BYTES = 32 << 20
+OUTPUT_ROWS = 2048
 
 # Voxel type codes of the single-file NIfTI-1 header.
 _VOXEL_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
@@ -144,7 +146,7 @@ def decode_volumes(
                 new = rows_of(path, content)
                 held += sum(0 if row[-3] is None else row[-3].nbytes for row in new)
                 rows += new
-                if held >= OUTPUT_BYTES:
+                if held >= OUTPUT_BYTES or len(rows) >= OUTPUT_ROWS:
                     yield pd.DataFrame(rows, columns=names)
                     rows, held = [], 0
             if rows:
