@@ -109,3 +109,13 @@ def test_steps_place_each_piece_once(histogram):
     assert all(x <= 64 for x in fill.values())
     # Two sequences are never both at most half full.
     assert sum(x <= 32 for x in fill.values()) <= 1
+
+
+def test_a_new_word_is_worked_on_once():
+    """A stretch that is one pre-token takes one step; those of others are remembered with it."""
+    fresh, seen = TokenIds(WORD), []
+    real = fresh.of_stretch.work
+    fresh.of_stretch.work = fresh.of_piece.work = lambda text: seen.append(text) or real(text)
+    text = "wordlet wordlet, other other wordlet"
+    assert list(struct.unpack(f"<{len(x := fresh.ids(text)) // 4}I", x)) == library_ids(text)
+    assert seen == ["wordlet", "wordlet,", ",", "other"]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxelarium.llm.common import text_or_empty
-from voxelarium.llm.tokens import WORD_PATTERN, PreTokens, default_path
+from voxelarium.llm.tokens import MEMO, WORD_PATTERN, Memo, PreTokens, default_path
 from voxelarium.storage import materialise
 
 SIZE = 4096
@@ -42,16 +42,21 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class TokenIds(PreTokens):
-    """Ids as little-endian unsigned 32-bit integers."""
+    """Ids as little-endian unsigned 32-bit integers.
+
+    No pre-token holds a blank, so most stretches are one and both share a memo.
+    """
 
     def __init__(self, path: str):
         super().__init__(path, WORD_PATTERN, base={})
+        self.of_piece = self.of_stretch = Memo(self.stretch, size=2 * MEMO)
 
     def value(self, ids: list[int]) -> bytes:
         return pack_ids(f"<{len(ids)}I", *ids)
 
     def stretch(self, text: str) -> bytes:
-        return b"".join(map(self.of_piece.__getitem__, self.find(text)))
+        pieces = self.find(text)
+        return self.piece(text) if pieces == [text] else b"".join(map(self.of_piece.__getitem__, pieces))
 
     def ids(self, text: str) -> bytes:
         """The tokenizer drops white space, so every word stands alone."""

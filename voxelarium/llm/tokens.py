@@ -149,7 +149,8 @@ class PreTokens:
 
     def piece(self, piece: str):
         """Value of one pre-token, merged now."""
-        shown = "".join(map(self.alphabet.__getitem__, piece.encode()))
+        plain = piece.isascii() and piece.isprintable() and " " not in piece  # such characters stand for themselves
+        shown = piece if plain else "".join(map(self.alphabet.__getitem__, piece.encode()))
         return self.value([t.id for t in self.model.tokenize(shown)])
 
 
