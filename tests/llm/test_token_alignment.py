@@ -117,6 +117,43 @@ def test_ids_are_the_libraries(libraries, text):
     assert tuple(x.tolist() for x in got) == tuple(map(list, libraries.ids(text)))
 
 
+STRETCHES = ["the", "The", "don't", "'s", "a\nb", "\n", "a\n", "\tb", "", "é½", "日本", "x\x85y", "\xa0", "<s>", "▁", "\x00", "12345", "#" * 450]
+
+
+@pytest.mark.parametrize("size", [0, 30, 1 << 22])
+def test_stretches_that_are_remembered(libraries, monkeypatch, size):
+    monkeypatch.setattr(token_alignment, "WORDS", 5)
+    aligner = Aligner(A, B)
+    aligner.stretches = token_alignment.Stretches(aligner, size)
+    rng = np.random.default_rng(size)
+    whole = 0
+    for k in range(1500):
+        known = STRETCHES[:5] + ["word", "ends.", f"new{k % 50}"] if k % 2 else STRETCHES
+        text = " ".join(rng.choice(known, rng.integers(1, 14)))
+        assert tuple(x.tolist() for x in aligner.ids(text)) == tuple(map(list, libraries.ids(text)))
+        whole += bool(text) and aligner.stretches.ids(text) is None
+        assert len(aligner.stretches) == aligner.stretches.sides[0].count == aligner.stretches.sides[1].count
+        assert aligner.stretches.held <= size + 5 * 2 * token_alignment.LONG
+    assert 300 < whole <= 750
+
+
+def test_a_stretch_is_encoded_once():
+    aligner = Aligner(A, B)
+    given, model = [], aligner.b.model
+
+    class Counting:
+        def encode(self, text):
+            given.append(text)
+            return model.encode(text)
+
+    aligner.b.model = Counting()
+    words = [f"word{k}, thing{k}." for k in range(50)]
+    for k in range(200):
+        a, b = aligner.ids(" ".join(words[k % 50 :] + words[: k % 50]))
+        assert len(a) and len(b)
+    assert sum(map(len, given)) < 2 * len(" ".join(words))
+
+
 @given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.integers(0, 40))
 def test_shared_ends(one, other, run):
     tail = list(range(61, 61 + run)) + [200]
@@ -125,6 +162,15 @@ def test_shared_ends(one, other, run):
     assert tuple(x.tolist() for x in shared_ends(a, b)) == ([a.index(x) + 1 for x in both], [b.index(x) + 1 for x in both])
 
 
+def test_a_stretch_that_is_not_given_back(libraries):
+    aligner = Aligner(A, B)
+    aligner.b.bytes[aligner.b.model.encode("the")[0]] = b" THE"
+    assert [x.tolist() for x in aligner.ids("in the house")] == [[], []]
+    assert not aligner.stretches
+    text = "in a house"
+    assert tuple(x.tolist() for x in aligner.ids(text)) == tuple(map(list, libraries.ids(text)))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 9), st.integers(1, 9)), max_size=30), st.integers(1, 40), st.integers(0, 5))
 def test_linked_pairs_in_blocks(sizes, block, seed):

@@ -11,6 +11,12 @@ qualifies if every merge makes the next id, which is proven when a worker opens
 with characters whose class the libraries may see differently, or with very long unbroken
 stretches, go to the tokenizer itself, as do all texts of a file that does not qualify.
 
+No token of either file crosses a blank between two characters that are no white space: the
+first splits there, and the second's merges cannot if no piece holds a blank behind another
+character and its scores are ranks (both proven when a worker opens it).  Texts whose blanks
+are all of that kind are put together from stretches between them, which both libraries
+encode once and a worker remembers up to a bound; all other texts are encoded whole.
+
 Documents keep their different id pairs with the number of links, so that nothing is
 tokenized twice.  The pairs are counted by documents, then looked up: those of most documents
 (``HOT`` of them at most) from a broadcast table, all others by a join on the pair.  A pair
@@ -50,6 +56,10 @@ BLANK = "▁"
 #: Characters without, or of nothing but, white space from which on the tokenizer itself is used: its time is not quadratic in them.
 LONG = 400
 _LONG = re.compile(rf"\S{{{LONG}}}|\s{{{LONG}}}").search
+#: Bytes of stretches that a worker remembers (each of fewer than ``LONG`` characters), and how many are looked up at once.
+MEMO, WORDS = 1 << 22, 1 << 12
+#: A blank beside white space.
+_OPEN_BLANK = re.compile(r" (?:\s|(?<=\s ))").search
 
 ALIGNED = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -127,7 +137,7 @@ def linked_pairs(
     while start < len(cells):
         stop = max(int(np.searchsorted(upto, (upto[start - 1] if start else 0) + block, side="right")), start + 1)
         first_a, first_b = in_a[start] - size_a[start], in_b[start] - size_b[start]
-        part_a, part_b = a[first_a : in_a[stop - 1]].astype(kind) << kind(bits), b[first_b : in_b[stop - 1]]
+        part_a, part_b = a[first_a : in_a[stop - 1]].astype(kind) << kind(bits), b[first_b : in_b[stop - 1]].astype(kind)
         if cells[start] > block:  # one group: its different ids
             left, n_left = np.unique(part_a, return_counts=True)
             right, n_right = np.unique(part_b, return_counts=True)
@@ -181,6 +191,93 @@ class Pieces:
         self.bytes = [
             bytes([int(s[1:-1], 16)]) if self.model.is_byte(i) else s.replace(BLANK, " ").encode() for i, s in enumerate(shown)
         ]
+        ranks = all(self.model.get_score(i).is_integer() for i in range(len(shown)))
+        self.splits = ranks and not any(BLANK in s.lstrip(BLANK) for s in shown)
+
+
+class Runs:
+    """Runs of ids, looked up by their numbers."""
+
+    def __init__(self):
+        self.ids, self.edges = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.count = self.held = 0
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.ids = _behind(self.ids, self.held, ids)
+        self.edges = _behind(self.edges, self.count + 1, ends + self.held)
+        self.count, self.held = self.count + len(ends), self.held + len(ids)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        first = self.edges[numbers]
+        sizes = self.edges[numbers + 1] - first
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.arange(sizes.sum()) + np.repeat(first - before, sizes)]
+
+
+def _behind(table: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``more`` written behind the used part, in a table twice as long if there is no room."""
+    if used + len(more) > len(table):
+        table = np.concatenate([table, np.empty(max(len(more), len(table)), table.dtype)])
+    table[used : used + len(more)] = more
+    return table
+
+
+class Stretches(dict):
+    """Ids of both sides for stretches between blanks, which are numbered as they come.
+
+    Beyond ``size`` bytes of them all are forgotten, so what is held is bounded.
+    """
+
+    def __init__(self, aligner: Aligner, size: int = MEMO):
+        super().__init__()
+        self.aligner, self.size = aligner, size
+        self.new, self.sides, self.held = [], (Runs(), Runs()), 0
+
+    def __missing__(self, stretch: str) -> int:
+        self.new.append(stretch)
+        self[stretch] = number = len(self)
+        return number
+
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of a blank and ``text``, or none if it has to be encoded whole."""
+        stretches = text.split(" ")
+        if max(map(len, stretches)) >= LONG or _OPEN_BLANK(f" {text} ") or not PreTokens.safe(text):
+            return None
+        found = []
+        for start in range(0, len(stretches), WORDS):
+            if self.held > self.size:
+                self.clear()
+                self.sides, self.held = (Runs(), Runs()), 0
+            part = stretches[start : start + WORDS]
+            numbers = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            new, self.new = self.new, []
+            if new and not self.learn(new):
+                for stretch in new:
+                    del self[stretch]
+                return None
+            found.append([side.of(numbers) for side in self.sides])
+        return found[0] if len(found) == 1 else tuple(map(np.concatenate, zip(*found)))
+
+    def learn(self, new: list[str]) -> bool:
+        """Encode ``new`` at once; false, and nothing learnt, if the libraries do not give them back one by one."""
+        text = " " + " ".join(new)
+        at = self.aligner
+        want = text.encode()
+        a, b = at.a.ranked.encode_ordinary(text), at.b.model.encode(text[1:])
+        if b"".join(map(at.b.bytes.__getitem__, b)) != want:  # the ranks hold the bytes themselves
+            return False
+        is_end = np.frombuffer(want + b" ", np.uint8)[1:] == ord(" ")
+        learnt = []
+        for ids, length in ((a, at.length_a), (b, at.length_b)):
+            ids = np.array(ids, np.int32)
+            upto = np.flatnonzero(is_end[length[ids].cumsum() - 1]) + 1
+            if len(upto) != len(new):
+                return False
+            learnt.append((ids, upto))
+        for side, run in zip(self.sides, learnt):
+            side.add(*run)
+        self.held += len(want)
+        return True
 
 
 class Aligner:
@@ -194,12 +291,17 @@ class Aligner:
         # Each id with the sign that follows it: inside a side, at its end.
         self.shown = [f"{i}{end}" for i in range(len(self.a.bytes)) for end in ",|"]
         self.shown += [f"{i}{end}" for i in range(len(self.b.bytes)) for end in ",;"]
+        self.stretches = Stretches(self) if self.a.ranked is not None and self.b.splits else None
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a blank and ``text``; empty if one side's bytes differ from those."""
         none = np.empty(0, np.int64)
         if not text:
             return none, none
+        if self.stretches is not None:
+            known = self.stretches.ids(text)
+            if known is not None:
+                return known
         a, b = self.a.ids(" " + text), self.b.model.encode(text)
         want = (" " + text).encode()
         if b"".join(map(self.a.bytes.__getitem__, a)) != want or b"".join(map(self.b.bytes.__getitem__, b)) != want:
