@@ -107,3 +107,54 @@ def test_fingerprint_trees_find_candidates(make, monkeypatch):
     want = [100 + i for i in range(12) if (marks[i] ^ marks[12 + i]).bit_count() > near_copies.RADIUS]
     assert len(want) < 3
     assert sorted(r["doc_id"] for r in keep_one(make(rows)).select("doc_id").collect()) == [*range(12), *want]
+
+
+def test_no_link_is_lost_behind_the_leaders(make, monkeypatch):
+    """All texts in one bucket, far more groups than leaders: the join on heads finds the links of the others."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: [7] if len(hashes) else [])
+    rng = np.random.default_rng(12)
+    rows = []
+    for g, t in enumerate(texts(rng, 25, 200)):
+        rows += [(10 * g + k, changed(rng, t, n)) for k, n in enumerate((0, 2, 4, 6, 9))]
+    rows += [(1000, ""), (1001, " "), (1002, "a b"), (1003, "A b"), (1004, "a")]
+    want = survivors(rows)
+    assert len(want) < len(rows) - 40
+    assert sorted(r["doc_id"] for r in keep_one(make(rows)).select("doc_id").collect()) == want
+
+
+def test_heads_meet_in_any_order():
+    rng = np.random.default_rng(13)
+    links = 0
+    for _ in range(400):
+        pool = np.unique(rng.integers(0, 1 << 64, 60, dtype=np.uint64))
+        known = np.sort(rng.choice(pool, 30, replace=False))
+        often = rng.integers(2, 5, 30)
+        n = int(rng.integers(1, 50))
+        one = np.sort(rng.choice(pool, n, replace=False))
+        other = np.union1d(rng.choice(one, max(1, n - int(rng.integers(0, 6))), replace=False), rng.choice(pool, int(rng.integers(0, 4))))
+        if len(np.intersect1d(one, other)) >= 0.8 * len(np.union1d(one, other)) - 1e-9:
+            links += 1
+            for order in ((known, often), (known[:0], often[:0])):
+                a, b = near_copies.head(one, *order), near_copies.head(other, *order)
+                first = next(x for x in a if x in set(b.tolist()))
+                rest = min(len(one) - a.tolist().index(first), len(other) - b.tolist().index(first))
+                assert rest * 1.8 >= 0.8 * (len(one) + len(other)) - 1e-6
+    assert links > 100
+    assert len(near_copies.head(one[:0], known, often)) == 0
+
+
+def test_a_common_passage_makes_no_pairs(make, monkeypatch):
+    """Frequent shingles come last in the order, so unlike texts that share them do not meet."""
+    rng = np.random.default_rng(14)
+    passage = " ".join(f"p{x}" for x in range(60))
+    rows = [(i, passage + " " + t) for i, t in enumerate(texts(rng, 150, 60))]
+    seen, real = [], near_copies._open_pairs
+
+    def counted(*given):
+        pairs = real(*given)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_copies, "_open_pairs", counted)
+    assert len(keep_one(make(rows)).collect()) == 150
+    assert seen == [0]
