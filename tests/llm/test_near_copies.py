@@ -158,3 +158,17 @@ def test_a_common_passage_makes_no_pairs(make, monkeypatch):
     monkeypatch.setattr(near_copies, "_open_pairs", counted)
     assert len(keep_one(make(rows)).collect()) == 150
     assert seen == [0]
+
+
+def test_common_shingles_are_counted_either_way_round(spark):
+    """Of two texts each is outside the largest component of some keys; all their common keys count."""
+    heads = [(k, i, 45, 45 - k) for i in (1, 2) for k in range(8)]
+    # The components of 1 and 2 have two texts each; the other text holds every other key.
+    heads += [(k, 3 if k % 2 else 4, 45, 20) for k in range(8)]
+    nodes = {n: spark.sql(f"SELECT xxhash64({n}) AS h").first()["h"] for n in (1, 2, 3, 4)}
+    heads = spark.createDataFrame([(k, nodes[i], size, rest) for k, i, size, rest in heads], "key long, id long, size int, rest int")
+    stars = spark.createDataFrame([(3, 1), (4, 2)], "hi int, lo int")
+    found = near_copies._open_pairs(heads, stars, near_copies.SIMILARITY).collect()
+    assert [{r["x"], r["y"]} for r in found] == [{nodes[1], nodes[2]}]
+    few = near_copies._open_pairs(heads.where("key < 4"), stars, near_copies.SIMILARITY).collect()
+    assert few == []
